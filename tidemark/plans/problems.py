@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..common import micros, table
 from ..functions.values import readings
+from ..operators.donors import fill_from_donors
+from ..operators.grid import regular_grid
 from ..operators.sessions import sessionise
 from ..operators.sweep import DAY, periods_and_gaps
 from ..operators.wide import eav_to_cells, typed_wide
@@ -34,6 +36,20 @@ def p1_wide(spark: SparkSession, d: str) -> DataFrame:
     return typed_wide(_cells(spark, d), types, "subject_id")
 
 
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    periodic = table(spark, d, "attr_types").where("period_s is not null")
+    r = readings(table(spark, d, "observations"), periodic).where("num is not null")
+    return regular_grid(r, table(spark, d, "windows"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _grid(spark, d).where("missing").select("window_id", "attribute", "slot")
+
+
+def p2_grid(spark: SparkSession, d: str) -> DataFrame:
+    return _grid(spark, d)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     out = periods_and_gaps(table(spark, d, "intervals"), "subject_id", "start", "stop", max_gap=30 * DAY)
     t = out.schema["start"].dataType
@@ -54,7 +70,20 @@ def p6_sessions(spark: SparkSession, d: str) -> DataFrame:
     return _sessions(spark, d)
 
 
-QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p4_found": p4_found, "p6_found": p6_found, "p6_sessions": p6_sessions}
+def _filled(spark: SparkSession, d: str) -> DataFrame:
+    r = typed_readings(spark, d, usable=None)
+    return fill_from_donors(r.withColumn("timestamp_us", micros(F.col("timestamp"), r.schema["timestamp"].dataType)))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _filled(spark, d).select("obs_id")
+
+
+def p7_filled(spark: SparkSession, d: str) -> DataFrame:
+    return _filled(spark, d)
+
+
+QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p2_found": p2_found, "p2_grid": p2_grid, "p4_found": p4_found, "p6_found": p6_found, "p6_sessions": p6_sessions, "p7_found": p7_found, "p7_filled": p7_filled}
 
 _NORM = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 _BLANK = r"[\s\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -95,9 +124,19 @@ _P6_I = f"""with i as (select subject_id, epoch_us(timestamp) s, epoch_us(timest
 
 ORACLES = {
     "p1_found": f"with {READINGS} select subject_id, code as attribute, max_by(obs_id, (timestamp, obs_id)) as obs_id from u where timestamp is not null group by 1, 2",
+    "p2_found": f"""with {READINGS},
+      w as (select distinct window_id, subject_id, start, stop from windows where start < stop and subject_id is not null),
+      v as (select subject_id, code, period_s, epoch_us(timestamp) t from u where period_s is not null and num is not null and timestamp is not null),
+      h as (select distinct w.window_id, w.subject_id, code, period_s, epoch_us(start) s, epoch_us(stop) e from w join v on w.subject_id = v.subject_id and t >= epoch_us(start) and t < epoch_us(stop)),
+      g as (select *, unnest(range(0, (e - s) // (period_s::bigint * 1000000))) slot from h)
+      select window_id, code as attribute, slot from g where not exists (select 1 from v where v.subject_id = g.subject_id and v.code = g.code
+        and t >= s + slot * period_s::bigint * 1000000 and t < s + (slot + 1) * period_s::bigint * 1000000)""",
     "p4_found": _ISLANDS.format(pre="with i as (select subject_id, epoch_us(start) s, epoch_us(stop) e from intervals where subject_id is not null and start < stop),", gap=0)
     + f"""select subject_id, 'period' as kind, s as start_us, e as stop_us from f union all
     select * from (select subject_id, 'gap', e, lead(s) over (partition by subject_id order by s) n from f) where n - e <= {30 * DAY}""",
     "p6_found": _ISLANDS.format(pre=_P6_I, gap=2 * HOUR) + "select subject_id, s as start_us, e as stop_us from f",
     "p6_sessions": _ISLANDS.format(pre=_P6_I, gap=2 * HOUR) + "select subject_id, s as start_us, e as stop_us, e - s as duration_us, n as records from f",
+    "p7_found": f"""with {READINGS},
+      x as (select distinct obs_id, subject_id, code, epoch_us(timestamp) t, (num is not null or txt is not null or tm is not null) ok from r where timestamp is not null)
+      select distinct a.obs_id from x a join x b on a.subject_id = b.subject_id and a.code = b.code and not a.ok and b.ok and abs(a.t - b.t) <= {HOUR}""",
 }

@@ -91,8 +91,10 @@ def with_value(df: DataFrame, value: str = "value") -> DataFrame:
     plain = letters(t)
     txt = F.when((kind == "category") & (plain != "") & F.array_contains("levels", plain), plain).when((kind == "string") & ~plain.isin(*ABSENT), t)
     tm = F.when(kind == "timestamp", moment(t))
-    df = df.withColumns({"num": num, "txt": txt, "tm": tm}).drop("__t", "__n")
-    return df.withColumn("usable", F.coalesce("num", F.when(F.col("txt").isNotNull(), 1.0), F.when(F.col("tm").isNotNull(), 1.0)).isNotNull())
+    # One generated struct a row: filters on it stay above it, so the text is read once, however often its values are used.
+    df = df.select("*", F.explode(F.array(F.struct(num.alias("num"), txt.alias("txt"), tm.alias("tm")))).alias("__v")).drop("__t", "__n")
+    df = df.withColumns({c: F.col("__v")[c] for c in ("num", "txt", "tm")}).drop("__v")
+    return df.withColumn("usable", F.col("num").isNotNull() | F.col("txt").isNotNull() | F.col("tm").isNotNull())
 
 
 def readings(obs: DataFrame, types: DataFrame, usable: bool | None = True) -> DataFrame:

@@ -9,8 +9,10 @@ from ..common import checkpoint, table
 from ..functions.values import readings
 from .digest import percentiles
 from .nearest import nearest_in_time
+from .tokens import encode_corpus
 
 SECOND = 1_000_000
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +37,11 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles(r.select(F.explode(by).alias("grp"), "num"), "grp", "num")
 
 
-QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p5_percentiles": p5_percentiles}
+def p8_ids(spark: SparkSession, d: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents"), vocabulary)
+
+
+QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p5_percentiles": p5_percentiles, "p8_ids": p8_ids}
 
 _P3 = f"""with r as (select subject_id, epoch_us(timestamp) t, min(obs_id) obs_id from observations where subject_id is not null and timestamp is not null and obs_id is not null group by 1, 2),
   p as (select distinct point_id, subject_id, epoch_us(point) t from points where subject_id is not null and point is not null and point_id is not null),

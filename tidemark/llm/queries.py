@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..common import checkpoint, table
 from ..functions.values import readings
 from .digest import percentiles
+from .leak import find_leaks
 from .nearest import nearest_in_time
 from .tokens import encode_corpus
 
@@ -41,7 +42,11 @@ def p8_ids(spark: SparkSession, d: str, vocabulary: str = VOCABULARY) -> DataFra
     return encode_corpus(table(spark, d, "documents"), vocabulary)
 
 
-QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p5_percentiles": p5_percentiles, "p8_ids": p8_ids}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p5_percentiles": p5_percentiles, "p8_ids": p8_ids, "p9_found": p9_found}
 
 _P3 = f"""with r as (select subject_id, epoch_us(timestamp) t, min(obs_id) obs_id from observations where subject_id is not null and timestamp is not null and obs_id is not null group by 1, 2),
   p as (select distinct point_id, subject_id, epoch_us(point) t from points where subject_id is not null and point is not null and point_id is not null),

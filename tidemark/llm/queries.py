@@ -10,6 +10,7 @@ from ..functions.values import readings
 from .digest import percentiles
 from .leak import find_leaks
 from .nearest import nearest_in_time
+from .personal import find_personal, redact
 from .tokens import encode_corpus
 
 SECOND = 1_000_000
@@ -46,7 +47,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p5_percentiles": p5_percentiles, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_personal(table(spark, d, "documents"))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return redact(docs, checkpoint(find_personal(docs)))
+
+
+QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p5_percentiles": p5_percentiles, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_redacted": p10_redacted}
 
 _P3 = f"""with r as (select subject_id, epoch_us(timestamp) t, min(obs_id) obs_id from observations where subject_id is not null and timestamp is not null and obs_id is not null group by 1, 2),
   p as (select distinct point_id, subject_id, epoch_us(point) t from points where subject_id is not null and point is not null and point_id is not null),

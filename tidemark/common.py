@@ -79,9 +79,9 @@ def numeric_axis(df: DataFrame, name: str) -> Column:
     return clean(df, name)
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Helper names that no column of df has (case counts as equal, as Spark resolves names without case)."""
-    taken, out = {c.lower() for c in df.columns}, []
+def fresh(df: DataFrame, *names: str, avoid: Sequence[str] = ()) -> list[str]:
+    """Helper names that no column of df has, nor avoid (case counts as equal, as Spark resolves names without case)."""
+    taken, out = {c.lower() for c in [*df.columns, *avoid]}, []
     for n in names:
         k = n
         while k.lower() in taken:
@@ -112,7 +112,7 @@ def row_ids(df: DataFrame, name: str, order_by: Sequence[str] | str | None = Non
     The order is made by a range-partitioned sort; positions are the partition's offset plus the place in it, so that no
     single task sees all rows. Without an order the positions follow the input's partitions, fixed by a checkpoint.
     """
-    part, at = fresh(df, "__part", "__at")
+    part, at, off = fresh(df, "__part", "__at", "__off", avoid=[name])
     base = df
     if order_by is not None and as_list(order_by):
         base = df.orderBy(*[q(c).asc_nulls_last() if isinstance(c, str) else c for c in as_list(order_by)])
@@ -120,9 +120,9 @@ def row_ids(df: DataFrame, name: str, order_by: Sequence[str] | str | None = Non
     fixed = fixed.withColumn(part, F.shiftright(q(at), 33))
     counts = fixed.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
     # One row for each partition: a bounded number, so one task may order them.
-    offset = counts.select(part, (F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__off"))
+    offset = counts.select(part, (F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias(off))
     mask = F.lit((1 << 33) - 1)
-    return fixed.join(F.broadcast(offset), part).withColumn(name, q(at).bitwiseAND(mask) + F.col("__off")).drop(part, at, "__off")
+    return fixed.join(F.broadcast(offset), part).withColumn(name, q(at).bitwiseAND(mask) + F.col(off)).drop(part, at, off)
 
 
 def chunked(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], summary: dict[str, Column], carry: dict[str, tuple[str, str]]) -> DataFrame:
@@ -154,3 +154,28 @@ def chunked(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def running_offset(df: DataFrame, order_by: Sequence[str], value: str, name: str) -> DataFrame:
+    """Append the sum of value over all earlier rows in a total order, without one task seeing all rows.
+
+    Rows are range-partitioned and fixed by a checkpoint; partitions' sums give offsets, a window in each partition the rest.
+    """
+    part, off = fresh(df, "__part", "__off", avoid=[name])
+    fixed = checkpoint(df.orderBy(*[q(c).asc_nulls_last() for c in order_by]).withColumn(part, F.spark_partition_id()))
+    sums = fixed.groupBy(part).agg(F.sum(value).alias("__s"))
+    offset = sums.select(part, F.coalesce(F.sum("__s").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(off))
+    w = Window.partitionBy(part).orderBy(*[q(c).asc_nulls_last() for c in order_by]).rowsBetween(Window.unboundedPreceding, -1)
+    return fixed.join(F.broadcast(offset), part).withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)) + F.col(off)).drop(part, off)
+
+
+def auto_chunk(df: DataFrame, at: str, pieces: int = 512) -> float:
+    """Width that cuts the finite span of a numeric column into about so many pieces."""
+    lo, hi = df.where((F.abs(F.col(at).cast("double")) < float("inf"))).agg(F.min(at).cast("double"), F.max(at).cast("double")).first()
+    width = (hi - lo) / pieces if lo is not None else 1.0
+    return width if width > 0 else 1.0
+
+
+def pieces_of(c: Column, width: float) -> Column:
+    """Piece of the axis that a number lies in; the infinities have pieces of their own."""
+    return F.when(F.abs(c.cast("double")) < float("inf"), F.floor(c / F.lit(width)).cast("bigint")).when(c > 0, F.lit(2**62)).when(c < 0, F.lit(-(2**62)))

@@ -141,7 +141,7 @@ def resample_eav(
     ties = [F.col("__id")] if row_id else [F.col("__v").asc_nulls_last()]
     j = ww.join(o, cond).select("__w", "__t", "__v", "__a", *(["__id"] if row_id else []))
     res = w
-    tie = "__id" if row_id else "__v"
+    tie = [F.col("__id")] if row_id else [F.col("__v").isNull(), F.col("__v").alias("tv")]
 
     exprs: list[Column] = []
     values, ranks, customs, mads = [], [], [], []
@@ -158,7 +158,7 @@ def resample_eav(
         elif isinstance(how, tuple) and how[0] in "rt":
             if how[1] in (0, -1):
                 pick = F.min_by if how[1] == 0 else F.max_by
-                order = F.when(here, F.struct(F.col("__t"), F.col(tie)))
+                order = F.when(here, F.struct(F.col("__t"), *tie))
                 exprs.append(pick(F.col("__v") if how[0] == "r" else F.col("__t"), order).alias(name))
             else:
                 ranks.append((a, how, name))
@@ -189,7 +189,7 @@ def resample_eav(
             elif how == "count":
                 c = cnt
             else:  # first and last known value
-                order = F.when(here & one.isNotNull(), F.struct(F.col("__t"), F.col(tie)))
+                order = F.when(here & one.isNotNull(), F.struct(F.col("__t"), *tie))
                 c = (F.min_by if how == "first" else F.max_by)(F.col("__v"), order)
             exprs.append(c.alias(name))
 

@@ -192,7 +192,7 @@ def speech(text: str, words: Words) -> tuple[list[str], list[int]]:
         start = begin
     if ws:
         ws[-1] = ws[-1].rstrip("-") or "?"
-    return _rejoined(ws, ids, words) if 0 in ids else (ws, ids)
+    return _rejoined(ws, ids, words)
 
 
 def _rejoined(ws: list[str], ids: list[int], words: Words) -> tuple[list[str], list[int]]:
@@ -210,7 +210,7 @@ def _rejoined(ws: list[str], ids: list[int], words: Words) -> tuple[list[str], l
                 k += 2
                 continue
         w = ws[k]
-        if ids[k] == 0 and 5 <= len(w) < 40:
+        if 5 <= len(w) < 40 and (ids[k] == 0 or (w not in words.exact and skeleton(w) not in words.shape)):
             cut = next(((a, b, p) for p in range(1, len(w)) if (a := words.exact.get(w[:p])) and (b := words.exact.get(w[p:]))), None)
             if cut:
                 a, b, p = cut

@@ -169,8 +169,10 @@ def running_offset(df: DataFrame, order_by: Sequence[str], value: str, name: str
     return fixed.join(F.broadcast(offset), part).withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)) + F.col(off)).drop(part, off)
 
 
-def auto_chunk(df: DataFrame, at: str, pieces: int = 512) -> float:
-    """Width that cuts the finite span of a numeric column into about so many pieces."""
+def chunk_width(df: DataFrame, at: str, t: T.DataType, pieces: int = 512) -> float:
+    """Width of the pieces in which a key's rows are scanned: a week of times, else the span of the column cut into so many."""
+    if is_time(t):
+        return 7 * 86_400_000_000
     lo, hi = df.where((F.abs(F.col(at).cast("double")) < float("inf"))).agg(F.min(at).cast("double"), F.max(at).cast("double")).first()
     width = (hi - lo) / pieces if lo is not None else 1.0
     return width if width > 0 else 1.0

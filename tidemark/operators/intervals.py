@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import as_list, auto_chunk, chunked, clean, fresh, from_micros, is_time, need_columns, numeric_axis, pieces_of, q, require, row_ids, running_offset, type_of
+from ..common import as_list, chunk_width, chunked, clean, fresh, from_micros, is_time, need_columns, numeric_axis, pieces_of, q, require, row_ids, running_offset, type_of
 from .sweep import next_in_key, running_count
 
 
@@ -26,7 +26,7 @@ def combine_intervals(df: DataFrame, start_col: str = "start", stop_col: str | N
     ks, ats = [f"k{i}" for i in range(len(keys))], [f"a{i}" for i in range(len(attrs))]
     base = df.select(*[q(c).alias(n) for c, n in zip([*keys, *attrs], [*ks, *ats])], clean(df, start_col).alias("s"), end.alias("e"))
     base = base.select(*ks, *ats, numeric_axis(base, "s").alias("s"), numeric_axis(base, "e").alias("e")).where("s <= e")
-    width = auto_chunk(base, "s")
+    width = chunk_width(base, "s", t)
     events = lambda d, names: d.select(*names, F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("e").alias("t"), F.lit(-1).alias("d")))).alias("x")).select(*names, "x.t", "x.d")
     ev = events(base, [*ks, *ats])
     if attrs:
@@ -35,11 +35,8 @@ def combine_intervals(df: DataFrame, start_col: str = "start", stop_col: str | N
         once = own.select(*ks, "t", F.when((F.col("before") <= 0) & (F.col("n") > 0), 1).when((F.col("before") > 0) & (F.col("n") <= 0), -1).otherwise(0).alias("d"))
         ev = once if n_min == 0 else once.where("d <> 0")
     e = running_count(ev, ks, "t", "d", pieces_of(F.col("t"), width))
-    e = next_in_key(e, ks, "t", {"t2": "t"})
-    e = chunked(e, ks, "__chunk", ["t"], {"__mt": F.max("t")}, {"__pt": ("max_before", "__mt")})
-    first = F.col("__pt").isNull() & F.lag("t").over(Window.partitionBy(*ks, "__chunk").orderBy("t")).isNull()
     inside = lambda c: (F.col(c) >= n_min) & (F.lit(True) if n_max is None else F.col(c) <= n_max)
-    e = e.withColumns({"on": inside("n") & F.col("t2").isNotNull(), "was": inside("before") & ~first})
+    e = e.withColumns({"on": inside("n") & F.col("t2").isNotNull(), "was": inside("before") & ~F.col("first")})
     b = next_in_key(e.where("on <> was").select(*ks, "t", "on", "__chunk"), ks, "t", {"t2": "t"}).where("on and t2 is not null")
     back = (lambda c: from_micros(c, t)) if is_time(t) or t.typeName().startswith("interval") else (lambda c: c.cast(t))
     start, stop = back(F.col("t")), back(F.col("t2"))
@@ -76,7 +73,7 @@ def group_intervals(df: DataFrame, group_by=None, point_col: str | None = None,
         alone = alone | clean(df, k).isNull()
     d = df.withColumns({s: numeric_axis(df, start_col), e: numeric_axis(df, stop_col), **{n: clean(df, k) for k, n in zip(keys, ks)}})
     d = d.withColumn(own, F.when(alone, q(rid)))
-    width = auto_chunk(d, s)
+    width = chunk_width(d, s, type_of(df, start_col))
     d = d.withColumn(ch, F.coalesce(pieces_of(q(s), width), F.lit(2**62 + 1)))
     part = [*ks, own]
     o = [q(s).asc_nulls_last(), q(rid)]

@@ -11,15 +11,19 @@ DAY = 86_400_000_000
 
 
 def running_count(ev: DataFrame, keys: list[str], at: str, delta: str, chunk: Column) -> DataFrame:
-    """Running sum of delta along at: (keys, at, d, n, before, __chunk), n after and before ahead of each place.
+    """Running sum of delta along at: (keys, at, d, n, before, first, t2, __chunk), one row for each place.
 
-    Events of a key are first summed by place and cut into chunks of the axis, whose sums are carried, so no task holds all
+    n and before: the sum after and ahead of the place; first: it is the key's first place; t2: the key's next place. Events of
+    a key are first summed by place and cut into chunks of the axis, whose sums and ends are carried, so no task holds all
     events of a hot key.
     """
     e = ev.groupBy(*keys, at).agg(F.sum(delta).alias("d")).withColumn("__chunk", chunk)
-    e = chunked(e, keys, "__chunk", [at], {"__s": F.sum("d")}, {"__base": ("sum_before", "__s")})
-    w = Window.partitionBy(*keys, "__chunk").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    return e.withColumn("n", F.col("__base") + F.sum("d").over(w)).withColumn("before", F.col("n") - F.col("d")).drop("__base")
+    ends = {"__s": F.sum("d"), "__a": F.min(at), "__b": F.max(at)}
+    e = chunked(e, keys, "__chunk", [at], ends, {"__base": ("sum_before", "__s"), "__next": ("first_after", "__a"), "__last": ("max_before", "__b")})
+    o = Window.partitionBy(*keys, "__chunk").orderBy(at)
+    n = F.col("__base") + F.sum("d").over(o.rowsBetween(Window.unboundedPreceding, 0))
+    e = e.withColumns({"n": n, "first": F.lag(at).over(o).isNull() & F.col("__last").isNull(), "t2": F.coalesce(F.lead(at).over(o), F.col("__next"))})
+    return e.withColumn("before", F.col("n") - F.col("d")).drop("__base", "__next", "__last")
 
 
 def next_in_key(rows: DataFrame, keys: list[str], at: str, carried: dict[str, str]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -91,16 +93,39 @@ def fresh(df: DataFrame, *names: str, avoid: Sequence[str] = ()) -> list[str]:
     return out
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the session names in spark.checkpoint.dir; a temporary folder only where none is set."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a temporary folder only where none is set, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="tidemark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """The table written as Parquet to the shared folder and read again: for larger tables that several branches read, each
+    perhaps only some of the columns. The files are deleted when the Python process ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session is over
+        pass
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else as it is (Catalyst then shuffles)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -181,3 +206,13 @@ def chunk_width(df: DataFrame, at: str, t: T.DataType, pieces: int = 512) -> flo
 def pieces_of(c: Column, width: float) -> Column:
     """Piece of the axis that a number lies in; the infinities have pieces of their own."""
     return F.when(F.abs(c.cast("double")) < float("inf"), F.floor(c / F.lit(width)).cast("bigint")).when(c > 0, F.lit(2**62)).when(c < 0, F.lit(-(2**62)))
+
+
+#: A key with more rows than this is scanned in pieces of the order's axis instead of in one window.
+HOT_ROWS = 1_000_000
+
+
+def hot(df: DataFrame, keys: Sequence[Column], most: int = HOT_ROWS) -> bool:
+    """Does a key hold more than so many rows? Counts are combined before they are sent; the whole table counts if there are no keys."""
+    n = df.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("n")) if keys else df.agg(F.count(F.lit(1)).alias("n"))
+    return not n.where(F.col("n") > most).isEmpty()

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import micros, need_columns, q, require, small
+from ..common import materialise, micros, need_columns, q, require, small
 
 MINUTE = 60_000_000
 DAY = 86_400_000_000
@@ -74,6 +74,7 @@ def fill_from_donors(rows: DataFrame, within: int = 60 * MINUTE, id_col: str = "
     tm_us = micros(F.col("tm"))
     whole = q(id_col).isNotNull() & F.col("subject_id").isNotNull() & F.col("code").isNotNull() & F.col("timestamp_us").isNotNull()
     base = rows.where(whole).select(q(id_col).alias("id"), F.col("subject_id").alias("s"), "code", F.col("timestamp_us").alias("t"), "usable", "num", "txt", "tm", _target(F.col("num"), F.col("txt"), tm_us).alias("y"))
+    base = materialise(base)  # read by four branches below
     donors = base.where("usable").drop("usable")
     att, src = predictors(donors.select("s", "code", "t", "y"))
     cell = lambda c: F.floor(c / F.lit(within)).cast("bigint")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import need_columns, numeric_axis, require
+from ..common import materialise, need_columns, numeric_axis, require
 
 HOUR = 3_600_000_000
 #: Horizons (in periods) among which each source's smoothness is chosen by likelihood.
@@ -179,7 +179,7 @@ def regular_grid(obs: DataFrame, windows: DataFrame, piece: int = 24 * HOUR, hal
     need_columns(windows, ["window_id", "subject_id", "start", "stop"], "windows")
     require(piece > 0 and halo >= 0, "piece must be positive, halo not negative")
     o = obs.select("subject_id", "code", numeric_axis(obs, "timestamp").cast("bigint").alias("t"), F.col("num").cast("double").alias("z"), (F.col("period_s").cast("bigint") * 1_000_000).alias("period"))
-    o = o.where("t is not null and z is not null and period > 0 and subject_id is not null and code is not null")
+    o = materialise(o.where("t is not null and z is not null and period > 0 and subject_id is not null and code is not null"))  # read by both branches below
     w = windows.select("window_id", "subject_id", numeric_axis(windows, "start").cast("bigint").alias("s"), numeric_axis(windows, "stop").cast("bigint").alias("e")).where("s < e and subject_id is not null and window_id is not null").distinct()
     # Which attributes a window has: readings meet windows in cells of the axis, and pairs are reduced before they are sent.
     cell = lambda c: F.floor(c / F.lit(piece))

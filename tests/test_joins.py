@@ -90,6 +90,20 @@ def test_keys_missing_ends_and_infinities(frame):
         assert rows(got) == sorted(want, key=repr), width
 
 
+def test_hot_keys_get_bins(frame, monkeypatch):
+    from tidemark.operators import joins
+
+    rnd = random.Random(9)
+    a, b = ([(i, 1, float(s), float(s + rnd.randint(0, 9))) for i, s in enumerate(rnd.randint(0, 500) for _ in range(120))] for _ in "ab")
+    want = sorted(((i, j) for i, j in brute([x[2:] for x in a], [x[2:] for x in b], True, True, True, True)), key=repr)
+    l, r = frame("id long, k int, s double, e double", a), frame("id long, k int, s double, e double", b)
+    monkeypatch.setattr(joins, "HOT_KEY", 50)
+    got = merge_intervals(l, r, on="k", how="inner", **ENDS)
+    assert rows(got, "id_x", "id_y") == want and "__bin" in got._jdf.queryExecution().toString()
+    outer = merge_intervals(l, r, on="k", how="outer", **ENDS)
+    assert outer.count() == len(want) + len(set(range(120)) - {i for i, _ in want}) + len(set(range(120)) - {j for _, j in want})
+
+
 @pytest.mark.parametrize("ends", [("s", "e", None, "e"), ("s", "e", "s", None), (None, "e", "s", "e"), ("s", "s", None, "e"), ("s", None, None, "e"), (None, "e", None, "e")])
 def test_half_infinite(frame, ends):
     rnd = random.Random(1)

@@ -12,7 +12,13 @@ from tidemark import factorize, get_loc, grouped_mode, iloc_loc, iloc_loc_assign
 from tidemark.operators import ordered
 
 
-def test_prev_next(frame, monkeypatch):
+@pytest.fixture(params=[False, True])
+def hotness(monkeypatch, request):
+    """Keys that count as hot are scanned in pieces; the result is the same."""
+    monkeypatch.setattr(ordered, "hot", lambda *a, **k: request.param)
+
+
+def test_prev_next(frame, monkeypatch, hotness):
     df = frame("id long, g int, t double, v string", [(0, 1, 2.0, "b"), (1, 1, 1.0, "a"), (2, 1, None, "c"), (3, None, 1.0, "d"), (4, None, 2.0, "e")])
     got = prev_next_values(df, "t", "g", {"v": {"prev_name": "p", "prev_fill": "-", "next_name": "n"}, "zz": {}}, "first", "last", row_id="id", inplace=False)
     assert rows(got) == sorted([(0, "a", "c", False, False), (1, "-", "b", True, False), (2, "b", None, False, True), (3, "-", None, True, True), (4, "-", None, True, True)], key=repr)
@@ -29,7 +35,7 @@ def test_prev_next(frame, monkeypatch):
         prev_next_values(df, None, "g", "v")
 
 
-def test_impute_lfill_vector(frame):
+def test_impute_lfill_vector(frame, hotness):
     groups = [[None, 1, None, 3, None], [None, None, None], [8, 9, None], [None, 10]]
     want = [[1, 1, 2, 3, 3], [None, None, None], [8, 9, 9], [10, 10]]
     df = frame("g int, i int, v double", [(g, i, None if v is None else float(v)) for g, vs in enumerate(groups) for i, v in enumerate(vs)])
@@ -38,7 +44,7 @@ def test_impute_lfill_vector(frame):
 
 
 @pytest.mark.parametrize("method,limit", [("linear", None), ("linear", 1), ("linear", 2), ("ffill", 2), ("bfill", 1), ("ffill", None), ("afill", None), ("afill", 1)])
-def test_impute_against_pandas(frame, method, limit):
+def test_impute_against_pandas(frame, method, limit, hotness):
     rnd = random.Random(1)
     data = [(g, i, rnd.choice([None, float(rnd.randint(0, 9)), float("nan")])) for g in range(4) for i in range(15)]
     got = {(r.g, r.i): r.v for r in impute(frame("g int, i int, v double", data), method, "g", limit, "i").collect()}

@@ -8,8 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import as_list, clean, fresh, is_time, need_columns, numeric_axis, q, require, row_ids, type_of
+from ..common import as_list, clean, fresh, hot, is_time, need_columns, numeric_axis, q, require, row_ids, type_of
 
+#: A key with more rows than this on a side gets bins by itself, as its pairs would grow with the square of its rows.
+HOT_KEY = 50_000
 #: A row that would fall into more bins than this on average makes the binned join pointless.
 MOST_BINS = 50
 
@@ -101,7 +103,8 @@ def merge_intervals(
     outer, right rows that aren't kept come back as unmatched. Overlapping column names, keys included, get suffixes.
     left_id, right_id: unique columns that name rows and order them; where they are needed and not given, positions are made.
     return_indexers: only (left_id, right_id), -1 for missing. keep_order sorts the result by the rows' order.
-    bin_width: width of bins of the axis that join the equality keys, 'auto' to choose; without keys bins are always tried.
+    bin_width: width of bins of the axis that join the equality keys, 'auto' to choose; without keys, or with a key of more than
+    HOT_KEY rows, bins are always tried.
     """
     require(how in ("inner", "left", "right", "outer"), f"unknown how: {how!r}")
     require(keep in ("all", "first", "last", "both"), f"unknown keep: {keep!r}")
@@ -117,7 +120,10 @@ def merge_intervals(
     for s, n in ((l0, "left"), (r0, "right")):
         if s.void:
             warnings.warn(f"points of the {n} side with an open end match nothing", stacklevel=2)
-    bins = None if l0.void or r0.void or (l0.point and r0.point) or (lk and bin_width is None) else _bins(l0, r0, bin_width)
+    ranged = not (l0.void or r0.void or (l0.point and r0.point) or None in (left_start, left_stop, right_start, right_stop))
+    if ranged and lk and bin_width is None and (hot(right, [q(k) for k in rk], HOT_KEY) or hot(left, [q(k) for k in lk], HOT_KEY)):
+        bin_width = "auto"
+    bins = _bins(l0, r0, bin_width) if ranged and not (lk and bin_width is None) else None
     ids = keep != "all" or keep_order or return_indexers or (bins is not None and how != "inner")
     lid, rid = left_id, right_id
     hidden = []

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..common import as_list, chunked, clean, fresh, from_micros, is_time, micros, need_columns, q, require, row_ids, type_of
+from ..common import as_list, chunk_width, chunked, clean, fresh, from_micros, hot, is_time, micros, need_columns, pieces_of, q, require, row_ids, type_of
 
 #: Rows of one piece where there is no key to spread a table by.
 PIECE = 100_000
@@ -29,7 +29,8 @@ def prev_next_values(df: DataFrame, sort_by=None, group_by=None, columns=None, f
     columns: {column: {prev_name, prev_fill, next_name, next_fill}}, or names, which give <name>_prev and <name>_next. Missing
     values aren't skipped; fills stand at a group's first and last row. Unknown columns are passed over. A row with a missing
     key is a group of its own. inplace=False gives only the new columns (and row_id, if named). keep_sorted sorts the result.
-    Without group_by the table is cut into pieces by position, so no task holds it all.
+    Without group_by the table is cut into pieces by position, and so is a key of more than
+    HOT_ROWS rows by its first sort column, so no task holds it all.
     """
     sort, keys = as_list(sort_by), as_list(group_by)
     require(len(sort) > 0, "sort_by is needed")
@@ -45,33 +46,43 @@ def prev_next_values(df: DataFrame, sort_by=None, group_by=None, columns=None, f
         (rid2,) = fresh(df, "__pos")
         df = row_ids(df, rid2, [*[clean(df, c).asc_nulls_last() for c in sort], *([q(row_id).asc_nulls_last()] if row_id else [])] if not keys else None)
         rid = rid2
-    if keys:
+    part = _keys_of(df, keys, rid)
+    axis = is_time(type_of(df, sort[0])) or isinstance(type_of(df, sort[0]), T.NumericType)
+    if keys and not (axis and hot(df, part)):
         order = [*[clean(df, c).asc_nulls_last() for c in sort], q(rid)]
-        w = Window.partitionBy(*_keys_of(df, keys, rid)).orderBy(*order)
-        lag, lead = (lambda c: F.lag(F.struct(c.alias("v"))).over(w)), (lambda c: F.lead(F.struct(c.alias("v"))).over(w))
+        w = Window.partitionBy(*part).orderBy(*order)
+        lag, lead = (lambda c, i: F.lag(F.struct(c.alias("v"))).over(w)), (lambda c, i: F.lead(F.struct(c.alias("v"))).over(w))
         tidy = []
     else:
-        df = df.withColumn("__piece", F.floor(q(rid) / F.lit(PIECE)).cast("bigint"))
+        # Pieces by position, or of the first sort column's axis for each key: edges of pieces are carried to their neighbours.
+        names = fresh(df, "__piece", "__before", "__after", *[f"__k{i}" for i in range(len(part))])
+        piece, before, after, ks = names[0], names[1], names[2], names[3:]
+        df = df.withColumns(dict(zip(ks, part))) if ks else df
+        if keys:
+            x = clean(df, sort[0]) if not is_time(type_of(df, sort[0])) else micros(q(sort[0]), type_of(df, sort[0]))
+            line = df.withColumn(piece, x)
+            df = df.withColumn(piece, F.coalesce(pieces_of(x, chunk_width(line, piece, type_of(df, sort[0]))), F.lit(2**62 + 1)))
+        else:
+            df = df.withColumn(piece, F.floor(q(rid) / F.lit(PIECE)).cast("bigint"))
+        place = [y for j, c in enumerate(sort) for y in (clean(df, c).isNull().alias(f"n{j}"), clean(df, c).alias(f"s{j}"))]
         vals = [F.struct(q(c).alias("v")).alias(f"c{i}") for i, c in enumerate(spec)]
-        edge = F.struct(q(rid).alias("p"), *vals)
-        df = chunked(df, [], "__piece", [rid], {"__a": F.max(edge), "__b": F.min(edge)}, {"__before": ("last_before", "__a"), "__after": ("first_after", "__b")})
-        w = Window.partitionBy("__piece").orderBy(rid)
-        at = {c: i for i, c in enumerate(spec)}
-        tidy = ["__piece", "__before", "__after"]
-        lag = lambda c: F.coalesce(F.lag(F.struct(c.alias("v"))).over(w), F.col("__before")[f"c{at[key]}"] if key is not None else F.when(F.col("__before").isNotNull(), F.struct(F.lit(1).alias("v"))))
-        lead = lambda c: F.coalesce(F.lead(F.struct(c.alias("v"))).over(w), F.col("__after")[f"c{at[key]}"] if key is not None else F.when(F.col("__after").isNotNull(), F.struct(F.lit(1).alias("v"))))
+        edge = F.struct(*place, q(rid).alias("p"), F.struct(F.lit(1).alias("v")).alias("c_"), *vals)
+        df = chunked(df, ks, piece, [rid], {"__a": F.max(edge), "__b": F.min(edge)}, {before: ("last_before", "__a"), after: ("first_after", "__b")})
+        w = Window.partitionBy(*ks, piece).orderBy(*[clean(df, c).asc_nulls_last() for c in sort], q(rid))
+        tidy = [piece, before, after, *ks]
+        lag = lambda c, i: F.coalesce(F.lag(F.struct(c.alias("v"))).over(w), q(before)[f"c{i}"])
+        lead = lambda c, i: F.coalesce(F.lead(F.struct(c.alias("v"))).over(w), q(after)[f"c{i}"])
     new: dict[str, Column] = {}
-    for key, s in spec.items():
+    for i, (key, s) in enumerate(spec.items()):
         for how, move in (("prev", lag), ("next", lead)):
             if s.get(f"{how}_name"):
-                row = move(q(key))
+                row = move(q(key), i)
                 fill = F.lit(s.get(f"{how}_fill")).cast(type_of(df, key))
                 new[s[f"{how}_name"]] = F.when(row.isNull(), fill).otherwise(row["v"])
-    key = None
     if first_indicator_name:
-        new[first_indicator_name] = lag(F.lit(1)).isNull()
+        new[first_indicator_name] = lag(F.lit(1), "_").isNull()
     if last_indicator_name:
-        new[last_indicator_name] = lead(F.lit(1)).isNull()
+        new[last_indicator_name] = lead(F.lit(1), "_").isNull()
     res = df.withColumns(new)
     if keep_sorted:
         res = res.orderBy(*[q(k).asc_nulls_last() for k in keys], *[q(c).asc_nulls_last() for c in sort], q(rid))
@@ -92,44 +103,57 @@ def impute(df: DataFrame, method: str = "ffill", group_by=None, limit: int | Non
     require(len(order) > 0, "order_by is needed: rows of a table have no order of their own")
     names = as_list(columns) if columns is not None else [c for c in df.columns if c not in keys and c not in order]
     need_columns(df, [*order, *keys, *names])
-    w = Window.partitionBy(*[clean(df, k) for k in keys]).orderBy(*[q(c).asc_nulls_last() for c in order])
-    far = Window.unboundedPreceding if limit is None else -limit
-    back, ahead = w.rowsBetween(far, 0), w.rowsBetween(0, Window.unboundedFollowing if limit is None else limit)
-    ever, coming = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    (pos,) = fresh(df, "__pos")
-    df2 = df.withColumn(pos, F.row_number().over(w)) if method in ("linear", "lfill") else df
+    plain = [c for c in names if isinstance(type_of(df, c), T.NumericType) or is_time(type_of(df, c))]
+    if method in ("afill", "linear", "lfill"):
+        require(columns is None or plain == names, f"only numbers and times have a mean or a line: {[c for c in names if c not in plain]}")
+        names = plain
+    if not names:
+        return df
+    ks = [clean(df, k) for k in keys]
+    axis = is_time(type_of(df, order[0])) or isinstance(type_of(df, order[0]), T.NumericType)
+    helper = fresh(df, "__piece", "__rn", "__base", *[f"__k{i}" for i in range(len(ks))], *[f"{e}{i}" for i in range(len(names)) for e in ("__p", "__n")])
+    piece, rn, base, kn, edges = helper[0], helper[1], helper[2], helper[3 : 3 + len(ks)], helper[3 + len(ks) :]
+    d = df.withColumns(dict(zip(kn, ks))) if kn else df
+    pieces = axis and (not keys or hot(df, ks))
+    by = [c.asc_nulls_last() for c in [clean(d, order[0]), *[q(c) for c in order[1:]]]]
+    if pieces:
+        x = clean(d, order[0]) if not is_time(type_of(df, order[0])) else micros(q(order[0]), type_of(df, order[0]))
+        d = d.withColumn(piece, F.coalesce(pieces_of(x, chunk_width(d.withColumn(piece, x), piece, type_of(df, order[0]))), F.lit(2**62 + 1)))
+        d = chunked(d, kn, piece, order, {"__c": F.count(F.lit(1))}, {base: ("sum_before", "__c")})
+    else:
+        d = d.withColumns({piece: F.lit(0), base: F.lit(0)})
+    w = Window.partitionBy(*kn, piece).orderBy(*by)
+    d = d.withColumn(rn, q(base) + F.row_number().over(w))
+    at = lambda c: F.when(clean(d, c).isNotNull(), F.struct(q(rn).alias("r"), clean(d, c).alias("v")))
+    if pieces:
+        known = {f"__m{k}{i}": f(at(c)) for i, c in enumerate(names) for k, f in (("x", F.max), ("n", F.min))}
+        carry = {edges[2 * i + j]: (how, f"__m{k}{i}") for i in range(len(names)) for j, (how, k) in enumerate((("last_before", "x"), ("first_after", "n")))}
+        d = chunked(d, kn, piece, order, known, carry)
     new: dict[str, Column] = {}
-    for c in names:
-        t = type_of(df, c)
-        v = clean(df, c)
-        if method == "ffill":
-            new[c] = F.last(v, True).over(back)
-            continue
-        if method == "bfill":
-            new[c] = F.first(v, True).over(ahead)
-            continue
-        if not (isinstance(t, T.NumericType) or is_time(t)):
-            require(columns is None, f"{c} has no mean")
+    for i, c in enumerate(names):
+        t, v = type_of(df, c), clean(df, c)
+        # The known values around each row, with their row numbers, within the piece or carried from other pieces.
+        p, n = F.last(at(c), True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(at(c), True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        if pieces:
+            p, n = F.coalesce(p, q(edges[2 * i])), F.coalesce(n, q(edges[2 * i + 1]))
+        near = (lambda a, b: F.lit(True)) if limit is None else (lambda a, b: a - b <= limit)
+        back, ahead = F.when(near(q(rn), p["r"]), p["v"]), F.when(near(n["r"], q(rn)), n["v"])
+        if method in ("ffill", "bfill"):
+            new[c] = back if method == "ffill" else ahead
             continue
-        x = micros(v, t) if is_time(t) else v.cast("double")
+        num = (lambda y, t=t: micros(y, t)) if is_time(t) else (lambda y: y.cast("double"))
         home = (lambda y, t=t: from_micros(F.round(y).cast("bigint"), t)) if is_time(t) else (lambda y: y)
+        own = v if is_time(t) else v.cast("double")
         if method == "afill":
-            b, f = F.last(x, True).over(back), F.first(x, True).over(ahead)
-            b, f = F.coalesce(b, f), F.coalesce(f, b)
-            new[c] = F.when(v.isNotNull(), v if is_time(t) else v.cast("double")).otherwise(home(b + (f - b) / 2))
+            b, f = num(F.coalesce(back, ahead)), num(F.coalesce(ahead, back))
+            new[c] = F.when(v.isNotNull(), own).otherwise(home(b + (f - b) / 2))
             continue
-        at = F.when(v.isNotNull(), q(pos))
-        r0, r1 = F.last(at, True).over(ever), F.first(at, True).over(coming)
-        v0, v1 = F.last(x, True).over(ever), F.first(x, True).over(coming)
-        fits = (q(pos) - r0 <= limit) if limit is not None else F.lit(True)
-        new[c] = F.when(v.isNotNull(), x).when(r0.isNotNull() & r1.isNotNull() & fits, v0 + (v1 - v0) * (q(pos) - r0) / (r1 - r0))
-        if is_time(t):
-            new[c] = home(new[c])
-    res = df2.withColumns(new).drop(pos)
+        line = num(p["v"]) + (num(n["v"]) - num(p["v"])) * (q(rn) - p["r"]) / (n["r"] - p["r"])
+        new[c] = F.when(v.isNotNull(), own).when(near(q(rn), p["r"]), home(line))
+    res = d.withColumns(new).select(*[q(c) for c in df.columns])
     if method == "lfill":
-        done = list(new)
         for m in ("ffill", "bfill"):
-            res = impute(res, m, keys, limit, order, done)
+            res = impute(res, m, keys, limit, order, names)
     return res
 
 

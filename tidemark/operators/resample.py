@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..common import as_list, clean, fresh, from_micros, is_time, micros, need_columns, numeric_axis, q, require, row_ids, type_of
+from .joins import merge_intervals
 
 PLAIN = ("mean", "min", "max", "median", "std", "var", "sum", "prod", "skew", "mad", "sem", "size", "count", "nunique", "mode", "mode_count", "first", "last")
 ZERO = ("size", "count", "nunique", "mode_count")
@@ -290,11 +291,11 @@ def resample_interval(
         sums = i.groupBy("__e").agg(*[F.sum(F.when(F.col("__a") == n, v)).alias(str(n)) for n in names])
         got = x.join(sums, F.col("__e") == F.col("__we")).select("__w", *[q(str(n)) for n in names])
     else:
-        cond = (a <= F.col("t")) & (b >= F.col("s"))
         if entity_col:
-            cond = (F.col("__e") == F.col("__we")) & cond
+            x, i = x.where("__we is not null"), i.where("__e is not null")
+        pairs = merge_intervals(x, i, left_on="__we" if entity_col else None, right_on="__e" if entity_col else None, how="inner", left_start="s", left_stop="t", right_start="a", right_stop="b")
         part = F.when(a == b, v).when(b - a == inf, F.when(hi - lo == inf, v).otherwise(F.lit(epsilon) * F.signum(v))).otherwise(v * (hi - lo) / (b - a))
-        got = x.join(i, cond).withColumn("__x", part).groupBy("__w").agg(*[F.sum(F.when(F.col("__a") == n, F.col("__x"))).alias(str(n)) for n in names])
+        got = pairs.withColumn("__x", part).groupBy("__w").agg(*[F.sum(F.when(F.col("__a") == n, F.col("__x"))).alias(str(n)) for n in names])
     res = w.join(got.withColumnRenamed("__w", "__pw"), q(wid) == F.col("__pw"), "left")
     if keep_order:
         res = res.orderBy(q(wid))

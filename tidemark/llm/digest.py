@@ -123,25 +123,21 @@ def estimate(digest: DataFrame, quantiles: Sequence[float]) -> DataFrame:
     return x.where(here).select("grp", "q", v.alias("value"))
 
 
-def certify(df: DataFrame, group: str, value: str, est: DataFrame) -> DataFrame:
+def certify(df: DataFrame, group: str, value: str, est: DataFrame, quantiles: Sequence[float]) -> DataFrame:
     """Second counting pass over all values: (grp, n, q, value, rank_low, rank_high, rank_error).
 
     rank_low and rank_high are the shares of values below, and at or below, the estimate; rank_error is how far q lies outside
-    that range (0 if inside): the certified error of the estimate, whatever the digest did. Counts are combined map-side.
+    that range (0 if inside): the certified error of the estimate, whatever the digest did. Counts are combined map-side, and
+    values meet their group's estimates as plain columns.
     """
-    at = est.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("q", "value"))).alias("e"))
+    k = range(len(quantiles))
+    at = est.groupBy("grp").agg(*[F.max(F.when(F.col("q") == float(v), F.col("value"))).alias(f"e{i}") for i, v in enumerate(quantiles)])
     v = df.select(q(group).cast("string").alias("grp"), q(value).cast("double").alias("v")).where("grp is not null and v is not null and not isnan(v)")
-    # Values are first counted by how many estimates they lie above and at: few distinct places, whatever the number of values.
-    j = v.join(at, "grp")
-    less = F.size(F.filter("e", lambda s: s["value"] < F.col("v")))
-    upto = F.size(F.filter("e", lambda s: s["value"] <= F.col("v")))
-    c = j.select("grp", less.alias("less"), upto.alias("upto")).groupBy("grp", "less", "upto").agg(F.count(F.lit(1)).alias("c"))
-    c = c.groupBy("grp").agg(F.sum("c").alias("n"), F.collect_list(F.struct("less", "upto", "c")).alias("cs"))
-    x = c.join(at, "grp").select("grp", "n", "cs", F.posexplode("e").alias("i", "s"))
-    below = F.aggregate("cs", F.lit(0).cast("bigint"), lambda a, s: a + F.when(s["upto"] <= F.col("i"), s["c"]).otherwise(0))
-    atmost = F.aggregate("cs", F.lit(0).cast("bigint"), lambda a, s: a + F.when(s["less"] <= F.col("i"), s["c"]).otherwise(0))
-    low, high, p = below / F.col("n"), atmost / F.col("n"), F.col("s.q")
-    return x.select("grp", "n", p.alias("q"), F.col("s.value").alias("value"), low.alias("rank_low"), high.alias("rank_high"), F.greatest(low - p, p - high, F.lit(0.0)).alias("rank_error"))
+    counts = [F.count(F.when(F.col("v") < F.col(f"e{i}"), 1)).alias(f"b{i}") for i in k] + [F.count(F.when(F.col("v") <= F.col(f"e{i}"), 1)).alias(f"a{i}") for i in k]
+    c = v.join(at, "grp").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.max(f"e{i}").alias(f"e{i}") for i in k], *counts)
+    each = F.array(*[F.struct(F.lit(float(p)).alias("q"), F.col(f"e{i}").alias("value"), (F.col(f"b{i}") / F.col("n")).alias("low"), (F.col(f"a{i}") / F.col("n")).alias("high")) for i, p in enumerate(quantiles)])
+    x = c.select("grp", "n", F.explode(each).alias("x")).select("grp", "n", "x.*")
+    return x.select("grp", "n", "q", "value", F.col("low").alias("rank_low"), F.col("high").alias("rank_high"), F.greatest(F.col("low") - F.col("q"), F.col("q") - F.col("high"), F.lit(0.0)).alias("rank_error"))
 
 
 def percentiles(df: DataFrame, group: str, value: str, quantiles: Sequence[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99), size: int = SIZE) -> DataFrame:
@@ -152,4 +148,4 @@ def percentiles(df: DataFrame, group: str, value: str, quantiles: Sequence[float
     and null groups are left out, infinities are not (they make their centroid infinite); groups without values have no row.
     """
     require(all(0 <= v <= 1 for v in quantiles), "quantiles lie in 0..1")
-    return certify(df, group, value, estimate(merge_digests([digests(df, group, value, size)], size), quantiles))
+    return certify(df, group, value, estimate(merge_digests([digests(df, group, value, size)], size), quantiles), quantiles)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import checkpoint, table
+from ..common import checkpoint, materialise, table
 from ..functions.values import readings
 from .digest import percentiles
 from .leak import find_leaks
@@ -34,7 +34,7 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     numeric = table(spark, d, "attr_types").where("kind in ('double', 'int')")
     r = readings(table(spark, d, "observations"), numeric).where("num is not null").select("obs_id", "subject_id", "code", "timestamp", "num").distinct()
     subjects = table(spark, d, "windows").select("subject_id").where("subject_id is not null").distinct().withColumn("w", F.lit(True))
-    r = checkpoint(r.select("subject_id", "code", "num").join(subjects, "subject_id", "left"))
+    r = materialise(r.select("subject_id", "code", "num").join(subjects, "subject_id", "left"))
     by = F.array_compact(F.array(F.concat(F.lit("attribute:"), "code"), F.when(F.col("w"), F.concat(F.lit("subject:"), F.col("subject_id").cast("string")))))
     return percentiles(r.select(F.explode(by).alias("grp"), "num"), "grp", "num")
 

@@ -20,7 +20,7 @@ TYPE_ROWS = [
     ("HR", "heart rate", "double", "bpm", 20.0, 300.0, 900, None), ("Temp", "body temperature", "double", "°C", 30.0, 44.0, 3600, None), ("GCS", "coma score", "int", None, 3.0, 15.0, None, None),
     ("Pos", "body position", "category", None, None, None, None, "supine|left side"), ("Vent", "ventilated", "bool", None, None, None, None, None), ("Adm", "admission time", "timestamp", None, None, None, None, None), ("Bed", "bed code", "string", None, None, None, None, None),
 ]
-OBS = "obs_id long, subject_id long, attribute string, timestamp timestamp_ntz, value string, recorded_at timestamp_ntz, device string, cells int, KIND2 string"
+OBS = "obs_id long, subject_id long, attribute string, timestamp timestamp_ntz, value string, recorded_at timestamp_ntz, device string, cells int, Kind string, code int, num string"
 
 VALUES = [
     ("hr", "80", 80.0), (" H R. ", "+80.5 BPM", 80.5), ("heart_rate", "80,5", 80.5), ("Heart-Rate", "8.0e1", 80.0), ("HR", "80 bpm", 80.0), ("HR", "<80", None), ("HR", "> 80", None), ("HR", "999", None), ("HR", "1.2.3", None), ("HR", "inf", None), ("HR", "--4", None), ("HR", "cuff err 3", None),
@@ -47,7 +47,7 @@ def random_obs(n, seed=0):
     out = []
     for i in range(n):
         t = T0 + timedelta(seconds=rnd.randint(0, 30_000), microseconds=pick(0, 1))
-        out.append((rnd.randint(0, n * 2), pick(1, 1, 1, 2, 3, None), pick("HR", "heart rate", "temp", "GCS", "x", None), pick(t, t, t, None), pick("70", "71 bpm", "36,5", "7", "n/a", None, "999", ""), T0, "d", 0, "k"))
+        out.append((rnd.randint(0, n * 2), pick(1, 1, 1, 2, 3, None), pick("HR", "heart rate", "temp", "GCS", "x", None), pick(t, t, t, None), pick("70", "71 bpm", "36,5", "7", "n/a", None, "999", ""), T0, "d", 0, "k", 1, "z"))
     return out + out[:5]
 
 

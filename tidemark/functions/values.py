@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import small
+from ..common import q, small
 
 # Spellings that merely say that there is no value (without case, spaces and punctuation).
 ABSENT = ("", "na", "nan", "none", "null", "nil", "missing", "unknown", "notdone", "notavailable", "notrecorded")
@@ -50,9 +50,17 @@ def attribute_keys(types: DataFrame) -> DataFrame:
     return best.select("key", *[F.col(f"m.{c}").alias(c) for c in rest])
 
 
+#: Columns that readings get; columns of the input with these names (in any case) make room for them.
+ADDED = ("code", "kind", "low", "high", "period_s", "units", "levels", "num", "txt", "tm", "usable", "__key", "__t", "__n", "__v")
+
+
 def recognised(obs: DataFrame, types: DataFrame, attribute: str = "attribute") -> DataFrame:
-    """Rows of obs whose attribute is the code or label of a type, with that type's columns."""
+    """Rows of obs whose attribute is the code or label of a type, with that type's columns.
+
+    Columns of obs that are named like an added one (ADDED) are left out. Rows with a null or unknown attribute have no row.
+    """
     keys = attribute_keys(types)
+    obs = obs.select(*[q(c) for c in obs.columns if c == attribute or c.lower() not in ADDED])
     return obs.withColumn("__key", letters(F.col(attribute))).join(small(keys.withColumnRenamed("key", "__key")), "__key").drop("__key")
 
 

@@ -14,6 +14,8 @@ from ..common import materialise, need_columns, numeric_axis, require
 HOUR = 3_600_000_000
 #: Horizons (in periods) among which each source's smoothness is chosen by likelihood.
 HORIZONS = (2.0, 6.0, 24.0)
+#: Places that a block of series may hold: about 200 bytes each while it is solved.
+CELLS = 200_000
 OUT = "window_id bigint, attribute string, slot bigint, at_us bigint, missing boolean, value double, sd double"
 
 
@@ -126,8 +128,11 @@ def _solve(p: pd.DataFrame) -> pd.DataFrame:
     useful = np.zeros(len(begin), bool)
     useful[np.unique(group[wanted])] = True
     order = order[useful[order]]
-    for at in range(0, len(order), 512):
-        some = order[at : at + 512]
+    at = 0
+    while at < len(order):
+        # Series of like length step together; a block holds a bounded number of places.
+        some = order[at : at + max(1, min(512, CELLS // int(length[order[min(at + 511, len(order) - 1)]])))]
+        at += len(some)
         m = int(length[some].max())
         idx = begin[some][:, None] + np.minimum(np.arange(m)[None, :], length[some][:, None] - 1)
         inside = np.arange(m)[None, :] < length[some][:, None]
@@ -139,7 +144,7 @@ def _solve(p: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"window_id": wid[w], "attribute": code[w], "slot": slot[w], "at_us": t[w], "missing": missing[own], "value": level[w], "sd": dev[w]})
 
 
-def _pieces(batches: Iterator[pd.DataFrame], rows: int = 60_000) -> Iterator[pd.DataFrame]:
+def _pieces(batches: Iterator[pd.DataFrame], rows: int = 50_000) -> Iterator[pd.DataFrame]:
     """Solve whole groups; the last group of a batch waits for the rest of it."""
     held: list[pd.DataFrame] = []
     size = 0

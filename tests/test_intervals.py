@@ -4,9 +4,16 @@ import pytest
 
 from tests.conftest import rows
 from tidemark import combine_intervals, group_intervals
+from tidemark.operators import intervals
 from tidemark.operators.sweep import periods_and_gaps
 
 
+@pytest.fixture(params=[False, True])
+def hotness(monkeypatch, request):
+    """Keys that count as hot are scanned in pieces; the result is the same."""
+    monkeypatch.setattr(intervals, "hot", lambda *a, **k: request.param)
+
+
 def cover(ivs, attr, n_min, n_max):
     """Brute force over unit cells and endpoints."""
     pts = sorted({p for s, e, _ in ivs for p in (s, e)})
@@ -23,7 +30,7 @@ def cover(ivs, attr, n_min, n_max):
 
 
 @pytest.mark.parametrize("n_min,n_max,attr", [(1, None, False), (2, None, False), (0, 0, False), (0, None, False), (1, 1, False), (1, None, True), (2, 2, True), (0, 0, True)])
-def test_combine(frame, n_min, n_max, attr):
+def test_combine(frame, n_min, n_max, attr, hotness):
     rnd = random.Random(7)
     data = [(g, float(s), float(s + rnd.randint(0, 6)), rnd.choice("ab")) for g in range(5) for s in [rnd.randint(0, 40) for _ in range(12)]]
     got = combine_intervals(frame("g int, s double, e double, a string", data + [(9, None, 3.0, "a"), (9, 5.0, 1.0, "a")]), "s", "e", attr_cols="a" if attr else (), group_by="g", n_min=n_min, n_max=n_max)
@@ -63,7 +70,7 @@ def closure(data, dist, inclusive):
 
 
 @pytest.mark.parametrize("inclusive", [True, False])
-def test_group_intervals(frame, inclusive):
+def test_group_intervals(frame, inclusive, hotness):
     rnd = random.Random(5)
     data = [(rnd.choice([1, 2, 3]), s, s + rnd.randint(1, 4)) for s in [rnd.randint(0, 60) for _ in range(60)]] + [(None, 5, 6), (None, 5, 6), (1, None, None)]
     df = frame("id long, k int, s int, e int", [(i, *d) for i, d in enumerate(data)])
@@ -77,7 +84,7 @@ def test_group_intervals(frame, inclusive):
     assert [first[g] for g in sorted(first)] == sorted(first.values())
 
 
-def test_group_points_stop_missing_and_errors(frame):
+def test_group_points_stop_missing_and_errors(frame, hotness):
     df = frame("id long, s double, e double", [(0, 0.0, 1.0), (1, 1.0, None), (2, 2.0, 3.0), (3, 3.0, 4.0)])
     got = group_intervals(df, start_col="s", stop_col="e", distance=5, row_id="id")
     assert [r.group_id for r in got.orderBy("id").collect()] == [0, 0, 1, 1]

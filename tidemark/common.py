@@ -150,14 +150,16 @@ def row_ids(df: DataFrame, name: str, order_by: Sequence[str] | str | None = Non
     return fixed.join(F.broadcast(offset), part).withColumn(name, q(at).bitwiseAND(mask) + F.col(off)).drop(part, at, off)
 
 
-def chunked(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], summary: dict[str, Column], carry: dict[str, tuple[str, str]]) -> DataFrame:
+def chunked(df: DataFrame, keys: Sequence[str], chunk: str | None, order: Sequence[str], summary: dict[str, Column], carry: dict[str, tuple[str, str]]) -> DataFrame:
     """Carry a summary of a key's earlier (or later) chunks into each chunk.
 
     A hot key would put all its rows in one window task. Here rows are cut by (keys, chunk); each chunk is summarised by
     aggregates that are combined before the shuffle, the few summaries of a key are scanned, and the result is joined
     back to the rows. summary: column -> aggregate of a chunk. carry: new column -> (how, summary column), how being
-    sum_before, max_before, min_after, last_before, first_after.
+    sum_before, max_before, min_after, last_before, first_after. chunk=None says that keys are whole: there is nothing to carry.
     """
+    if chunk is None:
+        return df.withColumns({n: F.lit(0 if h == "sum_before" else None) for n, (h, _) in carry.items()})
     s = df.groupBy(*keys, chunk).agg(*[v.alias(k) for k, v in summary.items()])
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(1, Window.unboundedFollowing)

@@ -56,7 +56,7 @@ def predict(rows: DataFrame, att: DataFrame, src: DataFrame) -> DataFrame:
     return r.withColumn("pred", pred).drop("m", "bs", "bc", "sd", "sn", "my", "mt", "msn", "mcs", "slope")
 
 
-def fill_from_donors(rows: DataFrame, within: int = 60 * MINUTE, id_col: str = "obs_id", with_donors: bool = True) -> DataFrame:
+def fill_from_donors(rows: DataFrame, within: int = 60 * MINUTE, id_col: str = "obs_id") -> DataFrame:
     """Filled readings: (obs_id, subject_id, attribute, donor_id, num, txt, tm, distance_us), one row per filled reading.
 
     rows: obs_id, subject_id, code, timestamp_us, usable, num, txt, tm. A reading that isn't usable is filled from the

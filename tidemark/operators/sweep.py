@@ -10,28 +10,33 @@ from ..common import as_list, chunked, from_micros, need_columns, numeric_axis,
 DAY = 86_400_000_000
 
 
-def running_count(ev: DataFrame, keys: list[str], at: str, delta: str, chunk: Column) -> DataFrame:
+def running_count(ev: DataFrame, keys: list[str], at: str, delta: str, chunk: Column | None) -> DataFrame:
     """Running sum of delta along at: (keys, at, d, n, before, first, t2, __chunk), one row for each place.
 
     n and before: the sum after and ahead of the place; first: it is the key's first place; t2: the key's next place. Events of
     a key are first summed by place and cut into chunks of the axis, whose sums and ends are carried, so no task holds all
-    events of a hot key.
+    events of a hot key. chunk=None leaves keys whole.
     """
-    e = ev.groupBy(*keys, at).agg(F.sum(delta).alias("d")).withColumn("__chunk", chunk)
+    e = ev.groupBy(*keys, at).agg(F.sum(delta).alias("d"))
+    c = [] if chunk is None else ["__chunk"]
+    e = e if chunk is None else e.withColumn("__chunk", chunk)
     ends = {"__s": F.sum("d"), "__a": F.min(at), "__b": F.max(at)}
-    e = chunked(e, keys, "__chunk", [at], ends, {"__base": ("sum_before", "__s"), "__next": ("first_after", "__a"), "__last": ("max_before", "__b")})
-    o = Window.partitionBy(*keys, "__chunk").orderBy(at)
+    e = chunked(e, keys, c[0] if c else None, [at], ends, {"__base": ("sum_before", "__s"), "__next": ("first_after", "__a"), "__last": ("max_before", "__b")})
+    o = Window.partitionBy(*keys, *c).orderBy(at)
     n = F.col("__base") + F.sum("d").over(o.rowsBetween(Window.unboundedPreceding, 0))
     e = e.withColumns({"n": n, "first": F.lag(at).over(o).isNull() & F.col("__last").isNull(), "t2": F.coalesce(F.lead(at).over(o), F.col("__next"))})
     return e.withColumn("before", F.col("n") - F.col("d")).drop("__base", "__next", "__last")
 
 
 def next_in_key(rows: DataFrame, keys: list[str], at: str, carried: dict[str, str]) -> DataFrame:
-    """Append to each row values of the next row of its key, through chunks (column __chunk). carried: new column -> source column."""
-    w = Window.partitionBy(*keys, "__chunk").orderBy(at)
+    """Append to each row values of the next row of its key, through chunks (column __chunk, if there is one). carried: new column -> source column."""
+    c = [x for x in rows.columns if x == "__chunk"]
+    w = Window.partitionBy(*keys, *c).orderBy(at)
     first = F.min(F.struct(F.col(at).alias("__at"), *[F.col(c).alias(n) for n, c in carried.items()]))
+    if not c:
+        return rows.withColumns({n: F.lead(x).over(w) for n, x in carried.items()})
     rows = chunked(rows, keys, "__chunk", [at], {"__f": first}, {"__nextf": ("first_after", "__f")})
-    out = {n: F.coalesce(F.lead(c).over(w), F.col("__nextf")[n]) for n, c in carried.items()}
+    out = {n: F.coalesce(F.lead(x).over(w), F.col("__nextf")[n]) for n, x in carried.items()}
     return rows.withColumns(out).drop("__nextf")
 
 

@@ -345,7 +345,7 @@ def combine_length(spark, d):
 
 
 def _dense(pre: str, cols: str) -> str:
-    return f"{pre}, b as (select *, case when near then 0 else 1 end brk from a) select {cols}, sum(brk) over (order by k, s, id rows unbounded preceding) - 1 as gid from b"
+    return f"{pre}, b as (select *, case when near then 0 else 1 end brk from a) select {cols}, (sum(brk) over (order by k, s, id rows unbounded preceding) - 1)::bigint as gid from b"
 
 
 @query("with a as (select user_id k, ts s, event_id id, coalesce(ts <= lag(ts) over (partition by user_id order by ts, event_id) + interval 6 hour, false) near from events)" + _dense("", "id").replace(", b as", ", b as", 1))

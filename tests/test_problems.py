@@ -110,7 +110,7 @@ def posterior(t, z, h):
     mean, var = z[seen].mean(), z[seen].var()
     r = max(0.5 * np.mean(np.diff(z[seen]) ** 2), 1e-6 * (abs(mean) + 1e-3) ** 2)
     w, n = 3 * r / h**3, len(t)
-    p = [np.diag([max(var, r) * 100 + r, max(var, r)])]
+    p = [np.diag([max(var, r), w * h])]
     steps = []
     for d in np.diff(t):
         f = np.array([[1, d], [0, 1]])

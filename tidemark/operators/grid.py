@@ -13,7 +13,7 @@ from ..common import materialise, need_columns, numeric_axis, require
 
 HOUR = 3_600_000_000
 #: Horizons (in periods) among which each source's smoothness is chosen by likelihood.
-HORIZONS = (2.0, 6.0, 24.0)
+HORIZONS = (3.0, 12.0, 100.0)
 #: Places that a block of series may hold: about 200 bytes each while it is solved.
 CELLS = 200_000
 OUT = "window_id bigint, attribute string, slot bigint, at_us bigint, missing boolean, value double, sd double"
@@ -25,7 +25,8 @@ def smooth(t: np.ndarray, z: np.ndarray, length: np.ndarray) -> tuple[np.ndarray
     t: (series, places) times in periods, rising; z: readings, nan where there is none; length: used places of each series.
     A series without readings gives nan. State is (level, slope) with white-noise acceleration of density w; a reading
     is the level plus noise of variance r. r comes from the series' own successive differences, w from the horizon of
-    greatest likelihood: w = 3 r / horizon^3. All series step together, so a step is a few numpy operations.
+    greatest likelihood: w = 3 r / horizon^3. At the first place the level is the readings' mean, give or take their spread,
+    the slope nil, give or take what w makes of it in a horizon. All series step together, so a step is a few numpy operations.
     """
     n, m = t.shape
     seen = ~np.isnan(z)
@@ -47,9 +48,10 @@ def smooth(t: np.ndarray, z: np.ndarray, length: np.ndarray) -> tuple[np.ndarray
     dt = np.diff(t, axis=1, prepend=t[:, :1])
     dt = np.where(np.arange(m)[None, :] < length[:, None], np.maximum(dt, 0.0), 0.0)
 
-    def forward(w: np.ndarray, keep: bool):
+    def forward(horizon, keep: bool):
+        w = 3 * r / horizon**3
         x0, x1 = mean.copy(), np.zeros(n)
-        p00, p01, p11 = np.maximum(var, r) * 100 + r, np.zeros(n), np.maximum(var, r)
+        p00, p01, p11 = np.maximum(var, r), np.zeros(n), w * horizon
         ll = np.zeros(n)
         store = []
         for k in range(m):
@@ -70,9 +72,8 @@ def smooth(t: np.ndarray, z: np.ndarray, length: np.ndarray) -> tuple[np.ndarray
             x0, x1, p00, p01, p11 = n0, n1, u00, u01, u11
         return store if keep else ll
 
-    scores = np.stack([forward(3 * r / h**3, False) for h in HORIZONS])
-    w = 3 * r / np.asarray(HORIZONS)[scores.argmax(0)] ** 3
-    f = forward(w, True)
+    scores = np.stack([forward(np.full(n, h), False) for h in HORIZONS])
+    f = forward(np.asarray(HORIZONS)[scores.argmax(0)], True)
     level, variance = np.empty((n, m)), np.empty((n, m))
     s0, s1, c00, c01, c11 = f[-1][5:]
     level[:, -1], variance[:, -1] = s0, c00

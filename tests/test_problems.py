@@ -175,3 +175,24 @@ def test_fill(typed):
     assert set(got) == set(want)
     assert all((x.donor_id, x.num) in want[i] for i, x in got.items())
     assert fill_from_donors(r.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hours", [1, 5, 24, 10_000])
+def test_grid_smooths_whole_sources(frame, hours):
+    """Pieces give what the smoother gives for all readings of the source at once, also far from any reading."""
+    rng = np.random.default_rng(3)
+    at = np.sort(np.concatenate([rng.uniform(0, 40, 60), rng.uniform(200, 230, 25), [400.0]]))
+    value = lambda t: 37 + np.sin(np.asarray(t) / 15) + rng.normal(0, 0.2, len(t))
+    obs = [(1, "Temp", int(t * 3.6e9), float(v), 3600) for t, v in zip(at, value(at))]
+    obs += [(1, "HR", int(t * 3.6e9), float(v), 900) for t, v in zip(at[::2], value(at[::2]))] + [(2, "Temp", 7_200_000_000, 36.5, 3600)]
+    win = [(1, 1, 0, 90 * 3_600_000_000), (2, 1, 150 * 3_600_000_000, 420 * 3_600_000_000), (3, 2, 0, 99 * 3_600_000_000)]
+    got = regular_grid(frame("subject_id long, code string, timestamp long, num double, period_s int", obs), frame("window_id long, subject_id long, start long, stop long", win), hours * 3_600_000_000).collect()
+    assert len(got) == 360 * 5 + 99 and not any(x.value is None or np.isnan(x.value) or x.sd is None or np.isnan(x.sd) for x in got)
+    subject = {w[0]: w[1] for w in win}
+    for s, code, period in ((1, "Temp", 3600e6), (1, "HR", 900e6), (2, "Temp", 3600e6)):
+        mine = sorted((x for x in got if subject[x.window_id] == s and x.attribute == code), key=lambda x: x.at_us)
+        places = sorted([(o[2], -1, o[3]) for o in obs if o[:2] == (s, code)] + [(x.at_us, x.slot, np.nan) for x in mine])
+        t, slot, z = (np.array(c, dtype=float) for c in zip(*places))
+        level, var = smooth((t - t[0])[None] / period, z[None], np.array([len(t)]))
+        assert np.allclose([x.value for x in mine], level[0][slot >= 0], rtol=1e-6, atol=1e-6) and np.allclose([x.sd for x in mine], np.sqrt(var[0][slot >= 0]), rtol=1e-4, atol=1e-9)
+        assert [x.missing for x in mine] == [not any(x.at_us <= o[2] < x.at_us + period for o in obs if o[:2] == (s, code)) for x in mine]

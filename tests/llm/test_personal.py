@@ -78,3 +78,14 @@ def test_empty_and_candidates(frame):
     assert find_personal(frame("doc_id long, text string", [])).count() == 0
     assert [c[0] for c in candidates("Call 212-555-0147 or a@b.example")] == ["email", "number"]
     assert list(candidates("12\n00:00:01,100 --> 00:00:02,900\nhe said 12:30")) == []
+
+
+@pytest.mark.parametrize("address", [a.upper() for a in ADDRESSES])
+def test_addresses_in_capitals(address):
+    """Each is found by its own capitals, wherever it stands, and ends where they end."""
+    plain = "We went home and slept until the morning came. "
+    for before in ("", plain, plain * 100):
+        for line in (f"1\n00:00:01,100 --> 00:00:02,900\n{{}}\n\n2\n00:00:03,0 --> 00:00:04,0\n{plain}", "Write to {}, and then call me", "WRITE: {}"):
+            t = before + "\n\n" + line.format(address)
+            assert [t[c[1] : c[2]] for c in candidates(t) if c[0] == "address"] == [address]
+    assert not [c for c in candidates("OK, 15\npeople in the way. THE 12 Men close in") if c[0] == "address"]

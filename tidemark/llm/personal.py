@@ -37,14 +37,20 @@ PAIRS = re.compile(rf"(?<![\w.\-])[A-Z]{{2}}{S0}\d\d{S0}\d\d{S0}\d\d{S0}[A-Z](?!
 MIXED = re.compile(r"(?<![\w.\-])[A-Z](?=(?:[A-Z]*\d){5})[A-Z0-9]{7,11}(?![\w\-])")
 CAP = r"[A-ZÀ-ÖØ-ÞĀ-Ž]"
 TOWN = rf"{CAP}[^\s,.:;!?()\d]*(?:{S}{CAP}[^\s,.:;!?()\d]*)?"
-_FORMS = [
-    re.compile(rf"(?<![\w.\-])\d{{1,4}}[A-Za-z]?{S}(?:{CAP}[^\s,.;:!?()]*{S}){{1,3}}(?:{STREETS_AFTER})(?![\w])(?:,{S}(?:{UNITS}){S}[0-9]{{1,4}}[A-Z]?(?!\w))?(?:,{S}{TOWN}(?:{S}\d{{5}}(?!\d))?)?"),
-    re.compile(rf"(?<!\w)(?:(?:{CAP}[^\s,.;:!?()\d]*{S})?{CAP}?[^\s,.;:!?()\d]*(?i:{STREETS_JOINED})|(?:Am|Im|An{S}der|Auf{S}dem|Zum|Zur|Beim|Hinter{S}der)(?:{S}{CAP}[^\s,.;:!?()\d]*){{1,2}}){S}\d{{1,4}}(?:[ ]?[a-z](?!\w))?(?!\w)(?:,{S}\d{{5}}{S}{TOWN})?"),
-    re.compile(rf"(?<![\w.\-])\d{{1,4}}(?:{S}(?:bis|ter))?,?{S}(?:{STREETS_FR}){S}(?:(?:de{S}la|de{S}l['’]|du|des|de|d['’]){S0})?{CAP}[^\s,.;:!?()\d]*(?:{S}{CAP}[^\s,.;:!?()\d]*)?(?:,{S}\d{{5}}{S}{TOWN})?"),
-    re.compile(rf"(?<!\w)(?:{STREETS_ES}){S}(?:(?:de{S}la|de{S}los|de{S}las|del|de){S})?{CAP}[^\s,.;:!?()\d]*(?:{S}{CAP}[^\s,.;:!?()\d]*)?,?{S}(?:n[^\s\d]{{1,4}}{S})?\d{{1,4}}(?!\d)(?:,{S}\d{{1,2}}[^\s\d,]{{1,6}}{S}[A-Z](?!\w))?(?:,{S}\d{{5}}{S}{TOWN})?"),
-]
-# Forms that begin with the house number, and others; then the same for texts in capitals.
-ADDRESSES = [[(k in (0, 2), rx) for k, rx in enumerate(_FORMS)], [(k in (0, 2), re.compile(rx.pattern, re.I)) for k, rx in enumerate(_FORMS)]]
+def _forms(case: str = "") -> list[re.Pattern]:
+    """Forms of addresses; with case "i" the fixed words may be in capitals, while names still begin with one."""
+    w = f"(?{case}:"
+    return [
+        re.compile(rf"(?<![\w.\-])\d{{1,4}}[A-Za-z]?{S}(?:{CAP}[^\s,.;:!?()]*{S}){{1,3}}{w}{STREETS_AFTER})(?![\w])(?:,{S}{w}{UNITS}){S}[0-9]{{1,4}}[A-Z]?(?!\w))?(?:,{S}{TOWN}(?:{S}\d{{5}}(?!\d))?)?"),
+        re.compile(rf"(?<!\w)(?:(?:{CAP}[^\s,.;:!?()\d]*{S})?{CAP}?[^\s,.;:!?()\d]*(?i:{STREETS_JOINED})|{w}Am|Im|An{S}der|Auf{S}dem|Zum|Zur|Beim|Hinter{S}der)(?:{S}{CAP}[^\s,.;:!?()\d]*){{1,2}}){S}\d{{1,4}}(?:[ ]?{w}[a-z])(?!\w))?(?!\w)(?:,{S}\d{{5}}{S}{TOWN})?"),
+        re.compile(rf"(?<![\w.\-])\d{{1,4}}(?:{S}{w}bis|ter))?,?{S}{w}{STREETS_FR}){S}(?:{w}de{S}la|de{S}l['’]|du|des|de|d['’]){S0})?{CAP}[^\s,.;:!?()\d]*(?:{S}{CAP}[^\s,.;:!?()\d]*)?(?:,{S}\d{{5}}{S}{TOWN})?"),
+        re.compile(rf"(?<!\w){w}{STREETS_ES}){S}(?:{w}de{S}la|de{S}los|de{S}las|del|de){S})?{CAP}[^\s,.;:!?()\d]*(?:{S}{CAP}[^\s,.;:!?()\d]*)?,?{S}(?:{w}n)[^\s\d]{{1,4}}{S})?\d{{1,4}}(?!\d)(?:,{S}\d{{1,2}}[^\s\d,]{{1,6}}{S}[A-Z](?!\w))?(?:,{S}\d{{5}}{S}{TOWN})?"),
+    ]
+
+
+# Forms that begin with the house number, and others; then the same for places in capitals, and for texts in capitals.
+ADDRESSES = [[(k in (0, 2), rx) for k, rx in enumerate(f)] for f in (_forms(), _forms("i"), [re.compile(rx.pattern, re.I) for rx in _forms()])]
+CAPITALS = re.compile(rf"{CAP}{{2}}")
 STREET = re.compile(rf"(?i:{STREETS_JOINED})|\b(?:Am|Im|An|Auf|Zum|Zur|Beim|Hinter|AM|IM|AN|AUF|ZUM|ZUR)\b|(?i:\b(?:{STREETS_ES}))")
 AT = re.compile(r"[\[(][aA][tT][\])]|\bAT\s\S+\sDOT\b|\bat\s\S+\sdot\b")
 HOUSE = re.compile(r"\d+")
@@ -117,13 +123,15 @@ def candidates(text: str) -> Iterator[tuple]:
             continue
         shouts = _shouts(t) if shouts is None else shouts
         m = None
-        for forms in ADDRESSES[: 1 + shouts]:
-            for first, rx in forms:
+        near = CAPITALS.search(t, max(0, h.start() - 60), h.end() + 80)
+        for level in (0, 1, 2) if shouts else (0, 1) if near else (0,):
+            for first, rx in ADDRESSES[level]:
                 if not first and not STREET.search(t, max(0, h.start() - 60), h.start()):
                     continue
                 m = rx.match(t, h.start()) if first else next((m for m in rx.finditer(t, max(0, t.rfind("\x00", 0, h.start()) + 1, h.start() - 60), h.end() + 80) if m.start() < h.start() < m.end()), None)
-                if m:
+                if m and (level != 1 or _shouts(m.group())):
                     break
+                m = None
             if m:
                 taken.append(m.span())
                 yield ("address", *m.span(), "", "", *_around(t, *m.span()))
@@ -164,8 +172,8 @@ def candidates(text: str) -> Iterator[tuple]:
 
 
 def _shouts(t: str) -> bool:
-    up = sum(map(str.isupper, t[:4000]))
-    return up > 0.5 * max(1, sum(map(str.isalpha, t[:4000])))
+    """Are most letters capitals?"""
+    return sum(map(str.isupper, t)) > 0.5 * max(1, sum(map(str.isalpha, t)))
 
 
 def _share(hits: Column, n: Column, doubt: float) -> Column:

@@ -13,6 +13,7 @@ from tidemark.operators.donors import fill_from_donors
 from tidemark.operators.grid import HORIZONS, regular_grid, smooth
 from tidemark.operators.sessions import sessionise
 from tidemark.operators.wide import compact, eav_to_cells, typed_wide, wide_delta
+from tidemark.plans import problems
 
 T0 = datetime(2024, 1, 1)
 TYPES = "attribute string, label string, kind string, unit string, low double, high double, period_s int, levels string"
@@ -196,3 +197,10 @@ def test_grid_smooths_whole_sources(frame, hours):
         level, var = smooth((t - t[0])[None] / period, z[None], np.array([len(t)]))
         assert np.allclose([x.value for x in mine], level[0][slot >= 0], rtol=1e-6, atol=1e-6) and np.allclose([x.sd for x in mine], np.sqrt(var[0][slot >= 0]), rtol=1e-4, atol=1e-9)
         assert [x.missing for x in mine] == [not any(x.at_us <= o[2] < x.at_us + period for o in obs if o[:2] == (s, code)) for x in mine]
+
+
+def test_wide_refuses_too_many_types(spark, monkeypatch):
+    many = spark.range(problems.MAX_COLUMNS + 1).selectExpr("concat('a', id) as attribute", "'double' as kind")
+    monkeypatch.setattr(problems, "table", lambda *_: many)
+    with pytest.raises(ValueError, match="attribute types"):
+        problems.p1_wide(spark, "")

@@ -140,3 +140,10 @@ def test_make_windows(frame):
     with pytest.raises(ValueError):
         make_windows(start=t)(None)
     assert "start=" in repr(make_windows(start="t"))
+
+
+def test_interval_refuses_too_many_attributes(spark):
+    d = spark.range(10_001).selectExpr("id as k", "0D as a", "1D as b", "1D as v")
+    w = spark.range(1).selectExpr("0D as a", "1D as b")
+    with pytest.raises(ValueError, match="more than 10000 attributes"):
+        resample_interval(d, w, start_col="a", stop_col="b", attribute_col="k", value_col="v")

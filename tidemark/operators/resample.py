@@ -13,6 +13,8 @@ from ..common import as_list, clean, fresh, from_micros, is_time, micros, need_c
 from .joins import merge_intervals
 
 PLAIN = ("mean", "min", "max", "median", "std", "var", "sum", "prod", "skew", "mad", "sem", "size", "count", "nunique", "mode", "mode_count", "first", "last")
+#: Attributes that are taken from the table itself where none are named.
+MAX_ATTRIBUTES = 10_000
 ZERO = ("size", "count", "nunique", "mode_count")
 
 
@@ -269,7 +271,8 @@ def resample_interval(
         require(len(names) <= 1, "several attributes need attribute_col")
         names = names or ["sum"]
     elif not names:
-        names = [r[0] for r in df.select(q(attribute_col)).distinct().where(q(attribute_col).isNotNull()).orderBy(q(attribute_col)).limit(10_000).collect()]
+        names = [r[0] for r in df.select(q(attribute_col)).distinct().where(q(attribute_col).isNotNull()).orderBy(q(attribute_col)).limit(MAX_ATTRIBUTES + 1).collect()]
+        require(len(names) <= MAX_ATTRIBUTES, f"more than {MAX_ATTRIBUTES} attributes; name those wanted")
     clash = {str(n).lower() for n in names} & {c.lower() for c in w.columns}
     require(not clash, f"windows already have {sorted(clash)}")
     original = w.columns

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import micros, table
+from ..common import micros, require, table
 from ..functions.values import readings
 from ..operators.donors import fill_from_donors
 from ..operators.grid import regular_grid
@@ -14,6 +14,8 @@ from ..operators.sweep import DAY, periods_and_gaps
 from ..operators.wide import eav_to_cells, typed_wide
 
 HOUR = 3_600_000_000
+#: Attribute types that a wide table may have.
+MAX_COLUMNS = 2000
 
 
 def typed_readings(spark: SparkSession, d: str, usable: bool | None = True) -> DataFrame:
@@ -32,7 +34,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_wide(spark: SparkSession, d: str) -> DataFrame:
-    types = {r.attribute: r.kind for r in table(spark, d, "attr_types").where("attribute is not null").limit(2000).collect()}
+    rows = table(spark, d, "attr_types").where("attribute is not null").limit(MAX_COLUMNS + 1).collect()
+    require(len(rows) <= MAX_COLUMNS, f"more than {MAX_COLUMNS} attribute types")
+    types = {r.attribute: r.kind for r in rows}
     return typed_wide(_cells(spark, d), types, "subject_id")
 
 

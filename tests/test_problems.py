@@ -1,6 +1,8 @@
 """The problems' operators on small tables with every kind of dirt, against brute force."""
 
+import os
 import random
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -178,6 +180,29 @@ def test_fill(typed):
     assert fill_from_donors(r.limit(0)).count() == 0
 
 
+def test_found_readings_come_through_the_matching(spark):
+    """The optimizer keeps the predictors and the choice of the donor in p7_found."""
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables here")
+    read = set()
+    for part in problems.p7_found(spark, d)._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("|").split("|"):
+        read |= set(re.findall(r"\b(num|txt|tm|d_y|sn_y|cs_y)#", part))
+    assert read == {"num", "txt", "tm", "d_y", "sn_y", "cs_y"}
+
+
+def test_fill_takes_the_nearest_prediction(frame):
+    """The donor nearest to the reading's prediction goes before a nearer in time; equal predictions go by time, then id."""
+    minute = 60_000_000
+    schema = "obs_id long, subject_id long, code string, timestamp_us long, usable boolean, num double, txt string, tm timestamp_ntz"
+    steep = [(k, 1, "A", 240 * k * minute, True, 10.0 * k, None, None) for k in range(60)]
+    at = 120 * minute + 40 * 240 * minute
+    steep += [(100, 1, "A", at - 50 * minute, True, 400.0, None, None), (101, 1, "A", at + 20 * minute, True, 100.0, None, None), (102, 1, "A", at, False, None, None, None), (102, 1, "A", at, False, None, None, None)]
+    flat = [(k, 2, "B", k * minute, True, 5.0, None, None) for k in (200, 199, 210)] + [(300, 2, "B", 205 * minute, False, None, None, None), (301, 2, "B", 500 * minute, False, None, None, None)]
+    got = {x.obs_id: (x.donor_id, x.num, x.distance_us) for x in fill_from_donors(frame(schema, steep + flat)).collect()}
+    assert got == {102: (100, 400.0, 50 * minute), 300: (200, 5.0, 5 * minute)}
+
+
 @pytest.mark.parametrize("hours", [1, 5, 24, 10_000])
 def test_grid_smooths_whole_sources(frame, hours):
     """Pieces give what the smoother gives for all readings of the source at once, also far from any reading."""

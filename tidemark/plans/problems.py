@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..common import micros, require, table
 from ..functions.values import readings
-from ..operators.donors import fill_from_donors
+from ..operators.donors import GRAIN, LEAST, MONTH, SHRINK, fill_from_donors
 from ..operators.grid import regular_grid
 from ..operators.sessions import sessionise
 from ..operators.sweep import DAY, periods_and_gaps
@@ -80,7 +80,8 @@ def _filled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _filled(spark, d).select("obs_id")
+    # Only what got a donor: with the bare ids the optimizer would drop the matching.
+    return _filled(spark, d).where("donor_id is not null").select("obs_id")
 
 
 def p7_filled(spark: SparkSession, d: str) -> DataFrame:
@@ -143,4 +144,20 @@ ORACLES = {
     "p7_found": f"""with {READINGS},
       x as (select distinct obs_id, subject_id, code, epoch_us(timestamp) t, (num is not null or txt is not null or tm is not null) ok from r where timestamp is not null)
       select distinct a.obs_id from x a join x b on a.subject_id = b.subject_id and a.code = b.code and not a.ok and b.ok and abs(a.t - b.t) <= {HOUR}""",
+    "p7_filled": f"""with {READINGS},
+      x as (select obs_id, subject_id, code, epoch_us(timestamp) t, num, txt, tm, (num is not null or txt is not null or tm is not null) ok,
+        coalesce(num, ('0x' || substr(md5(txt), 1, 8))::bigint / 4294967296.0, epoch_us(tm) / {DAY}.0) y, (epoch_us(timestamp) % {DAY} + {DAY}) % {DAY} * 2 * pi() / {DAY} g from r where timestamp is not null),
+      c as (select subject_id, code, t // {MONTH} k, count(*) n, avg(y) y, avg(t / {DAY}.0) d, avg(sin(g)) sn, avg(cos(g)) cs, var_pop(y) yy, var_pop(sin(g)) ss, var_pop(cos(g)) cc, covar_pop(sin(g), cos(g)) sc, covar_pop(sin(g), y) sy, covar_pop(cos(g), y) cy,
+        var_pop(t / {DAY}.0) dd, covar_pop(t / {DAY}.0, y) dy from x where ok group by all),
+      a1 as (select code, sum(n) n, sum(n * y) / sum(n) m, sum(n * ss) a, sum(n * cc) b, sum(n * sc) c, sum(n * sy) p, sum(n * cy) q, sqrt(sum(n * yy) / sum(n)) sd from c group by 1),
+      att as (select code, m, sd, case when a * b - c * c > 1e-6 * n * n then (p * b - q * c) / (a * b - c * c) else 0 end bs, case when a * b - c * c > 1e-6 * n * n then (q * a - p * c) / (a * b - c * c) else 0 end bc from a1),
+      s1 as (select subject_id, code, sum(n) n, sum(n * y) / sum(n) y, sum(n * d) / sum(n) d, sum(n * sn) / sum(n) sn, sum(n * cs) / sum(n) cs,
+        case when sum(n) >= {LEAST} then (sum(n * dy) + sum(n * d * y) - sum(n * d) * sum(n * y) / sum(n)) / sum(n)
+        / (greatest((sum(n * dd) + sum(n * d * d) - sum(n * d) * sum(n * d) / sum(n)) / sum(n), 0) + 1) else 0 end slope from c group by 1, 2),
+      src as (select subject_id, code, slope, (n * y + {SHRINK} * m) / (n + {SHRINK}) - slope * d - bs * sn - bc * cs base from s1 join att using (code)),
+      z as (select x.*, base + slope * (t / {DAY}.0) + bs * sin(g) + bc * cos(g) line, sd from x join src using (subject_id, code) join att using (code)),
+      m as (select a.obs_id, a.subject_id, a.code, abs(a.t - b.t) d, b.obs_id donor_id, b.num, b.txt, b.tm,
+        case when b.sd > 0 then round(abs(a.line - b.line - case when b.txt is null then (b.y - b.line) / {1 + SHRINK} else 0 end) / (b.sd * {GRAIN})) else 0 end gap
+        from z a join z b on a.subject_id = b.subject_id and a.code = b.code and not a.ok and b.ok and abs(a.t - b.t) <= {HOUR})
+      select obs_id, subject_id, code as attribute, donor_id, num, txt, tm, d as distance_us from (select *, row_number() over (partition by obs_id order by gap, d, donor_id) k from m) where k = 1""",
 }

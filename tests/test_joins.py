@@ -13,6 +13,7 @@ def iv(frame, pairs):
     return frame("id long, s double, e double", [(i, a, b) for i, (a, b) in enumerate(pairs)])
 
 
+# The documented results of small joins (HOW, KEEP and the vector of test_containing_interval_with_infinities).
 HOW = {
     "inner": [(0, 2), (2, 1), (2, 2)],
     "left": [(0, 2), (1, -1), (2, 1), (2, 2), (3, -1)],
@@ -115,6 +116,63 @@ def test_half_infinite(frame, ends):
     assert rows(got) == sorted(want, key=repr)
 
 
+def planned(df):
+    """Names of the join operators in the plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {x for x in ("BroadcastNestedLoopJoin", "CartesianProduct") if x in plan}
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "outer"])
+@pytest.mark.parametrize("ends", [("s", "e", None, "e"), ("s", "e", "s", None), (None, "e", "s", "e"), ("s", "s", None, "e"), ("s", None, "e", "e"), (None, "e", "s", None)])
+def test_half_infinite_without_keys(frame, ends, how):
+    """Single inequalities meet by nodes of a tree, not by a nested loop."""
+    rnd = random.Random(4)
+    a, b = ([(i, rnd.choice([float(rnd.randint(0, 9))] * 9 + [None]), rnd.choice([float(rnd.randint(0, 9))] * 9 + [float("nan")])) for i in range(30)] for _ in "ab")
+    inf = float("inf")
+    value = lambda x: None if x is None or x != x else x
+    end = lambda r, s, e: (-inf if s is None else value(r[1] if s == "s" else r[2]), inf if e is None else value(r[1] if e == "s" else r[2]))
+    pairs = [(x[0], y[0]) for x in a for y in b if brute([end(x, *ends[:2])], [end(y, *ends[2:])], True, True, True, True)]
+    want = pairs + [(i, -1) for i in range(30) if how != "inner" and all(p[0] != i for p in pairs)] + [(-1, j) for j in range(30) if how == "outer" and all(p[1] != j for p in pairs)]
+    schema = "id long, s double, e double"
+    got = merge_intervals(frame(schema, a), frame(schema, b), how=how, left_start=ends[0], left_stop=ends[1], right_start=ends[2], right_stop=ends[3], return_indexers=True, left_id="id", right_id="id")
+    assert rows(got) == sorted(want, key=repr) and not planned(got)
+
+
+@pytest.mark.parametrize("unit", ["long", "timestamp_ntz", "double"])
+def test_long_and_infinite_intervals_without_keys(frame, unit):
+    """Lengths from 0 to 10^9, and infinite ends: no row is spread over bins, and none is lost."""
+    rnd = random.Random(5)
+    make = lambda n: [(i, s, s + rnd.choice([0, 1, 5, 5, 10**9])) for i, s in enumerate(rnd.randint(0, 300) for _ in range(n))]
+    a, b = make(70), make(60)
+    inf = float("inf")
+    if unit == "double":
+        a, b = ([(i, float(s), float(e)) for i, s, e in x] for x in (a, b))
+        a[:3], b[:2] = [(0, -inf, 5.0), (1, 100.0, inf), (2, -inf, inf)], [(0, None, 10.0**9), (1, inf, inf)]
+    if unit == "timestamp_ntz":
+        from datetime import datetime, timedelta
+
+        a, b = ([(i, *(datetime(2024, 1, 1) + timedelta(milliseconds=v) for v in p)) for i, *p in x] for x in (a, b))
+    want = sorted(brute([x[1:] for x in a], [x[1:] for x in b], True, True, True, True), key=repr)
+    got = merge_intervals(frame(f"id long, s {unit}, e {unit}", a), frame(f"id long, s {unit}, e {unit}", b), how="inner", **ENDS)
+    assert rows(got, "id_x", "id_y") == want and not planned(got)
+
+
+def test_tree(spark):
+    """Every range of leaves is covered once, by few nodes, and a point meets a range in one node or none."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.nodes import Tree
+
+    t = Tree([(spark.range(1000), F.col("id"))], 16)
+    assert t.size >= 15 and t.levels == t.size.bit_length()
+    d = spark.range(t.size).select(F.col("id").alias("lo")).crossJoin(spark.range(t.size).select(F.col("id").alias("hi")))
+    d = d.select("lo", "hi", t.covering(F.col("lo"), F.col("hi")).alias("c")).crossJoin(spark.range(t.size).select(F.col("id").alias("p"), t.above(F.col("id")).alias("a")))
+    wrong = d.where(F.size(F.array_intersect("c", "a")) != F.when((F.col("lo") <= F.col("p")) & (F.col("p") <= F.col("hi")), 1).otherwise(0))
+    assert wrong.count() == 0 and d.agg(F.max(F.size("c"))).first()[0] <= 2 * t.levels
+    one = Tree([(spark.range(0), F.col("id"))])
+    assert one.size == 1 and spark.range(3).select(one.leaf(F.col("id")).alias("x"), F.size(one.covering(F.lit(0), F.lit(0)))).distinct().collect() == [(0, 1)]
+
+
 def test_columns_outer_keep_and_errors(frame):
     l, r = frame("id long, k int, v string", [(0, 1, "a"), (1, None, "b")]), frame("id long, k int, w string", [(0, 1, "x"), (1, 1, "y"), (2, 5, "z")])
     got = merge_intervals(l, r, on="k", how="outer", keep="first", left_id="id", right_id="id")

@@ -7,13 +7,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..common import as_list, clean, fresh, hot, is_time, need_columns, numeric_axis, q, require, row_ids, type_of
+from .nodes import Tree
 
 #: A key with more rows than this on a side gets bins by itself, as its pairs would grow with the square of its rows.
 HOT_KEY = 50_000
-#: A row that would fall into more bins than this on average makes the binned join pointless.
-MOST_BINS = 50
+#: If rows would touch more bins than this on average, or a single row more than that, nodes of a tree take the place of bins.
+MOST_BINS, MOST_BINS_OF_A_ROW = 50, 100_000
 
 
 class _Side:
@@ -55,37 +57,69 @@ def _overlap(l: _Side, r: _Side) -> Column:
     return cond
 
 
-def _finite(c: Column) -> Column:
-    return F.abs(c) < float("inf")
+def _axis(s: _Side, name: str | None, none: float) -> Column:
+    return F.lit(none) if name is None else numeric_axis(s.df, name).cast("double")
 
 
-def _bins(l: _Side, r: _Side, width: float | str | None) -> tuple[DataFrame, DataFrame, float] | None:
-    """Both sides with the bins of the axis that each row touches, or None if bins can't be used or wouldn't pay."""
-    if None in (l.start, l.stop, r.start, r.stop):
+def _on_axis(s: _Side) -> bool:
+    """Are the side's ends numbers or times?"""
+    kinds = ("double", "float", "long", "integer", "short", "byte", "decimal")
+    return all(c is None or is_time(type_of(s.df, c)) or type_of(s.df, c).typeName().startswith(kinds) or isinstance(type_of(s.df, c), T.DayTimeIntervalType) for c in (s.start, s.stop))
+
+
+def _full(s: _Side) -> DataFrame:
+    """Rows whose interval isn't empty: the others match nothing and need no place on the axis."""
+    return s.df.alias("x").where(s.filled("x")).select("x.*")
+
+
+def _bin_width(l: _Side, r: _Side, width: float | str | None) -> float | None:
+    """Width of bins of the axis (chosen if it is None or 'auto'), or None if there are rows that would touch too many."""
+    if None in (l.start, l.stop, r.start, r.stop) or not (_on_axis(l) and _on_axis(r)):
         return None
     spans = []
     for s in (l, r):
-        if not (is_time(type_of(s.df, s.start)) or s.df.schema[s.start].dataType.typeName() in ("double", "float", "long", "integer", "short")):
-            return None
-        a, b = numeric_axis(s.df, s.start).cast("double"), numeric_axis(s.df, s.stop).cast("double")
-        spans.append(s.df.where(_finite(a) & _finite(b) & (a <= b)).agg(F.avg(b - a), F.min(a), F.max(b), F.count(F.lit(1)), F.max(b - a)).first())
+        a, b = _axis(s, s.start, 0.0), _axis(s, s.stop, 0.0)
+        spans.append(_full(s).agg(F.avg(b - a), F.min(a), F.max(b), F.count(F.lit(1)), F.max(b - a)).first())
     known = [x for x in spans if x[0] is not None]
-    if not known:
+    if any(not abs(v) < float("inf") for x in known for v in (x[1], x[2], x[4])):
         return None
-    lo, hi = min(x[1] for x in known), max(x[2] for x in known)
     if width in (None, "auto"):
-        width = max(x[0] for x in known) or (hi - lo) / max(1.0, max(x[3] for x in known)) or 1.0
-    if any(x[4] / width > 100_000 for x in known) or any(x[0] / width > MOST_BINS for x in known):
+        lo, hi = min((x[1] for x in known), default=0.0), max((x[2] for x in known), default=0.0)
+        width = max((x[0] for x in known), default=0.0) or (hi - lo) / max(1.0, max((x[3] for x in known), default=1.0)) or 1.0
+    if any(x[4] / width > MOST_BINS_OF_A_ROW for x in known) or any(x[0] / width > MOST_BINS for x in known):
         return None
-    out = []
-    for s in (l, r):
-        # Infinite ends are brought to the span of all finite ones; empty rows touch no bin.
-        a = F.greatest(numeric_axis(s.df, s.start).cast("double"), F.lit(float(lo)))
-        b = F.least(numeric_axis(s.df, s.stop).cast("double"), F.lit(float(hi)))
-        x, y = F.floor(a / F.lit(float(width))).cast("bigint"), F.floor(b / F.lit(float(width))).cast("bigint")
-        d = s.df.withColumns({"__lo": x, "__hi": F.greatest(x, y)}).where("__lo is not null and __hi is not null")
-        out.append(d.withColumn("__bin", F.explode(F.sequence("__lo", "__hi"))).drop("__hi"))
-    return out[0], out[1], width
+    return float(width)
+
+
+def _binned(s: _Side, width: float) -> DataFrame:
+    """A row for each bin that an interval touches; __lo is its first bin."""
+    a, b = (F.floor(_axis(s, c, 0.0) / F.lit(width)).cast("bigint") for c in (s.start, s.stop))
+    d = _full(s).withColumns({"__lo": a, "__hi": F.greatest(a, b)})
+    return d.withColumn("__bin", F.explode(F.sequence("__lo", "__hi"))).drop("__hi")
+
+
+def _through_nodes(l: _Side, r: _Side, tree: Tree, cond: Column, cols: list[Column]) -> DataFrame:
+    """Inner join by equality of nodes: each pair of overlapping rows is met once, through the later of the two starts.
+
+    The row that starts later (the right one of equal starts) is a point at its start, the other a range; any lengths, infinite ends included, will do.
+    """
+    ld, rd = (_full(s).withColumns({"__a": _axis(s, s.start, -float("inf")), "__b": _axis(s, s.stop, float("inf"))}) for s in (l, r))
+    point = lambda d: d.withColumn("__node", F.explode(tree.above(tree.leaf(F.col("__a")))))
+    span = lambda d: d.withColumn("__node", F.explode(tree.covering(tree.leaf(F.col("__a")), tree.leaf(F.col("__b")))))
+    meet = F.col("l.__node") == F.col("r.__node")
+    one = span(ld).alias("l").join(point(rd).alias("r"), meet & cond & (F.col("r.__a") >= F.col("l.__a"))).select(*cols)
+    two = point(ld).alias("l").join(span(rd).alias("r"), meet & cond & (F.col("l.__a") > F.col("r.__a"))).select(*cols)
+    return one.union(two)
+
+
+def _hot_keys(left: DataFrame, right: DataFrame, lk: list[str], rk: list[str]) -> bool:
+    """Has a key more than HOT_KEY rows on a side? One job counts both sides."""
+    side = lambda d, ks, n: d.select(*[q(k).alias(f"k{i}") for i, k in enumerate(ks)], F.lit(n).alias("side"))
+    try:
+        both = side(left, lk, 0).union(side(right, rk, 1))
+    except Exception:  # keys of types that don't unite
+        return hot(left, [q(k) for k in lk], HOT_KEY) or hot(right, [q(k) for k in rk], HOT_KEY)
+    return hot(both, [q(c) for c in both.columns], HOT_KEY)
 
 
 def merge_intervals(
@@ -104,7 +138,8 @@ def merge_intervals(
     left_id, right_id: unique columns that name rows and order them; where they are needed and not given, positions are made.
     return_indexers: only (left_id, right_id), -1 for missing. keep_order sorts the result by the rows' order.
     bin_width: width of bins of the axis that join the equality keys, 'auto' to choose; without keys, or with a key of more than
-    HOT_KEY rows, bins are always tried.
+    HOT_KEY rows, the axis is always cut: into bins, or where there are infinite ends or very unequal lengths into the nodes of
+    a tree, by which ranges and starts meet in equality joins. bin_width=0 leaves keys whole and saves the count of their rows.
     """
     require(how in ("inner", "left", "right", "outer"), f"unknown how: {how!r}")
     require(keep in ("all", "first", "last", "both"), f"unknown keep: {keep!r}")
@@ -120,11 +155,13 @@ def merge_intervals(
     for s, n in ((l0, "left"), (r0, "right")):
         if s.void:
             warnings.warn(f"points of the {n} side with an open end match nothing", stacklevel=2)
-    ranged = not (l0.void or r0.void or (l0.point and r0.point) or None in (left_start, left_stop, right_start, right_stop))
-    if ranged and lk and bin_width is None and (hot(right, [q(k) for k in rk], HOT_KEY) or hot(left, [q(k) for k in lk], HOT_KEY)):
-        bin_width = "auto"
-    bins = _bins(l0, r0, bin_width) if ranged and not (lk and bin_width is None) else None
-    ids = keep != "all" or keep_order or return_indexers or (bins is not None and how != "inner")
+    cut = not (l0.void or r0.void or (l0.point and r0.point)) and _on_axis(l0) and _on_axis(r0)
+    if cut and lk:
+        finite = None not in (left_start, left_stop, right_start, right_stop)
+        cut = bool(bin_width) or (bin_width is None and finite and _hot_keys(left, right, lk, rk))
+    bins = _bin_width(l0, r0, bin_width) if cut else None
+    tree = Tree([(s.df, _axis(s, c, 0.0)) for s in (l0, r0) for c in dict.fromkeys((s.start, s.stop)) if c is not None]) if cut and bins is None else None
+    ids = keep != "all" or keep_order or return_indexers or (cut and how != "inner")
     lid, rid = left_id, right_id
     hidden = []
     if ids and lid is None:
@@ -141,26 +178,25 @@ def merge_intervals(
     rename = lambda c, k: c + suffixes[k] if c.lower() in both else c
     out = [F.col(f"l.`{c}`").alias(rename(c, 0)) for c in lcols] + [F.col(f"r.`{c}`").alias(rename(c, 1)) for c in rcols]
 
-    def matching(ld: DataFrame, rd: DataFrame, kind: str) -> DataFrame:
+    def matching(ls: _Side, rs: _Side, kind: str, cols: list[Column]) -> DataFrame:
         cond = F.lit(False) if l.void or r.void else _overlap(l, r)
         for a, b in zip(lk, rk):
             cond = F.col(f"l.`{a}`").eqNullSafe(F.col(f"r.`{b}`")) & cond
-        if "__bin" in ld.columns:
+        if tree:
+            return _through_nodes(ls, rs, tree, cond, cols)
+        ld, rd = ls.df, rs.df
+        if bins:
+            ld, rd = _binned(ls, bins), _binned(rs, bins)
             cond = (F.col("l.__bin") == F.col("r.__bin")) & cond & (F.col("l.__bin") == F.greatest("l.__lo", "r.__lo"))
-        return ld.alias("l").join(rd.alias("r"), cond, kind)
+        return ld.alias("l").join(rd.alias("r"), cond, kind).select(*cols)
 
     if not ids:
-        if bins:
-            b = _bins(l, r, bins[2])
-            return matching(b[0], b[1], "inner").select(*out)
-        return matching(left, right, {"outer": "full_outer"}.get(how, how)).select(*out)
+        return matching(l, r, {"outer": "full_outer"}.get(how, how), out)
 
     ends = lambda s, keys, i: [q(c) for c in dict.fromkeys([*keys, *[x for x in (s.start, s.stop) if x], i])]
     lsmall, rsmall = left.select(*ends(l, lk, lid)), right.select(*ends(r, rk, rid))
-    if bins:
-        b = _bins(_Side(lsmall, l.start, l.stop, l.closed_start, l.closed_stop), _Side(rsmall, r.start, r.stop, r.closed_start, r.closed_stop), bins[2])
-        lsmall, rsmall = b[0], b[1]
-    pairs = matching(lsmall, rsmall, "inner").select(F.col(f"l.`{lid}`").alias("__l"), F.col(f"r.`{rid}`").alias("__r"))
+    of = lambda s, d: _Side(d, s.start, s.stop, s.closed_start, s.closed_stop)
+    pairs = matching(of(l, lsmall), of(r, rsmall), "inner", [F.col(f"l.`{lid}`").alias("__l"), F.col(f"r.`{rid}`").alias("__r")])
     if keep != "all":
         per, other = ("__r", "__l") if how == "right" else ("__l", "__r")
         which = {"first": [F.min(other)], "last": [F.max(other)], "both": [F.min(other), F.max(other)]}[keep]

@@ -1,4 +1,5 @@
 import random
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidemark import factorize, get_loc, grouped_mode, iloc_loc, iloc_loc_assign, impute, partition_series, prev_next_values, roll1d, shift_equal
-from tidemark.operators import ordered
+from tidemark import common
+from tidemark.operators import locate, ordered
 
 
 @pytest.fixture(params=[False, True])
@@ -76,6 +78,45 @@ def test_impute_times_and_text(frame):
         impute(df, "linear", order_by="i", columns="s")
 
 
+@pytest.mark.parametrize("method", ["ffill", "bfill", "afill", "linear", "lfill"])
+def test_impute_grows_with_the_rows(spark, method):
+    """Twice the rows of a key take about twice the time, not four times it; a million rows in one key end soon."""
+
+    def took(n):
+        df = spark.range(n, numPartitions=2).selectExpr("id % 1 as g", "id as i", "case when id % 5000 = 0 then double(id) end as v")
+        t = time.time()
+        impute(df, method, "g", order_by="i").write.format("noop").mode("overwrite").save()
+        return time.time() - t
+
+    took(20_000)
+    assert took(40_000) < 3 * took(20_000) + 2
+    assert took(1_000_000) < 15  # some 2 s on 8 cores
+
+
+def test_impute_keyless_by_text(frame, monkeypatch):
+    """Neither keys nor an axis: pieces by position."""
+    monkeypatch.setattr(ordered, "PIECE", 3)
+    data = [(f"{i:03d}", float(i) if i % 7 == 2 else None) for i in range(30)]
+    got = {r.k: r.v for r in impute(frame("k string, v double", data), "lfill", order_by="k").collect()}
+    w = pd.Series([v for _, v in data]).interpolate("linear", limit_area="inside").ffill().bfill()
+    assert [got[k] for k, _ in data] == pytest.approx(list(w))
+
+
+def test_carries_without_keys_go_through_runs(frame, monkeypatch):
+    monkeypatch.setattr(common, "CHUNKS", 3)
+    data = [(i, i // 2, (i * 7) % 11 if i % 5 else None) for i in range(60)]
+    df = frame("i int, c long, v int", data).where("c <> 9")
+    carry = {"s": ("sum_before", "a"), "x": ("max_before", "b"), "n": ("min_after", "d"), "l": ("last_before", "b"), "f": ("first_after", "b")}
+    got = common.chunked(df, [], "c", ["i"], {"a": F.sum("v"), "b": F.max("v"), "d": F.min("v")}, carry).collect()
+    known = [(c, v) for _, c, v in data if c != 9]
+    top = {c: max((v for k, v in known if k == c and v is not None), default=None) for c, _ in known}
+    assert len(got) == 58
+    for r in got:
+        b, a = [v for c, v in known if c < r.c and v is not None], [v for c, v in known if c > r.c and v is not None]
+        near = lambda cs: next((top[c] for c in cs if top.get(c) is not None), None)
+        assert (r.s, r.x, r.n, r.l, r.f) == (sum(b), max(b, default=None), min(a, default=None), near(range(r.c - 1, -1, -1)), near(range(r.c + 1, 31)))
+
+
 def test_grouped_mode(frame):
     df = frame("g int, v double", [(0, 2.0), (0, 0.0), (1, None), (1, 1.0), (2, float("nan")), (1, None), (0, 0.0), (2, None), (None, 5.0)])
     assert rows(grouped_mode(df, "g", "v")) == [(0, 0.0, 2), (1, 1.0, 1), (2, None, 0)]
@@ -120,7 +161,7 @@ def test_partition_series(frame):
     assert [r.bin for r in partition_series(df, "v", 10, shuffle=False, order_by="i").orderBy("i").collect()] == want
 
 
-def test_locators(frame):
+def test_locators(frame, monkeypatch):
     df = frame("k string, n int, v double", [(c, i % 3, float(i)) for i, c in enumerate("abcdefghij")])
     assert rows(iloc_loc(df, slice(2, 8, 3), ["k"], "k")) == [("c",), ("f",)]
     assert rows(iloc_loc(df, [0, -1], "k", "k")) == [("a",), ("j",)]
@@ -130,6 +171,12 @@ def test_locators(frame):
     assert rows(get_loc(df, ["n", "k"], (1,), "k")) == [(1,), (4,), (7,)]
     assert rows(get_loc(df, ["n", "k"], [(1, "b"), (2, "c")], "k")) == [(1,), (2,)]
     assert rows(get_loc(df, "k", slice("b", "d"), "k")) == [(1,), (2,), (3,)]
+    assert rows(get_loc(df, ["n", "k"], [(1, "b"), (2,)], "k")) == [(1,), (2,), (5,), (8,)]
+    assert rows(get_loc(df, "k", [], "k")) == [] and rows(get_loc(df, "k", ["c", "c"], "k")) == [(2,)]
+    assert rows(iloc_loc(df, slice(None, None, -4), "k", "k")) == [("b",), ("f",), ("j",)]
+    monkeypatch.setattr(locate, "LISTED", 1)
+    assert rows(iloc_loc(df, [0, -1, 0], "k", "k")) == [("a",), ("j",)]
+    assert rows(iloc_loc_assign(df, [0, 9], ["v"], -1, "k"), "v")[0:2] == [(-1.0,), (-1.0,)] and iloc_loc_assign(df, [0, 9], ["v"], 9, "k").columns == df.columns
     with pytest.raises(KeyError):
         get_loc(df, "k", ["a", "zz"], "k")
     with pytest.raises(IndexError):

@@ -150,6 +150,25 @@ def row_ids(df: DataFrame, name: str, order_by: Sequence[str] | str | None = Non
     return fixed.join(F.broadcast(offset), part).withColumn(name, q(at).bitwiseAND(mask) + F.col(off)).drop(part, at, off)
 
 
+#: Chunks whose summaries are scanned together where no key spreads them.
+CHUNKS = 4096
+
+
+def _rows_before(over: Window, at: str, later: bool) -> Window:
+    """All rows ahead in the order of at, or all later ones: scanned in reverse, as a frame that ends with the partition is read anew for each row."""
+    return over.orderBy(F.col(at).desc() if later else F.col(at).asc()).rowsBetween(Window.unboundedPreceding, -1)
+
+
+#: How summaries are carried: (from later chunks, over a window, of several chunks, own and carried together).
+_CARRY = {
+    "sum_before": (False, lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0)), lambda c, at: F.sum(c), lambda own, more: own + F.coalesce(more, F.lit(0))),
+    "max_before": (False, lambda c, w: F.max(c).over(w), lambda c, at: F.max(c), lambda own, more: F.greatest(own, more)),
+    "min_after": (True, lambda c, w: F.min(c).over(w), lambda c, at: F.min(c), lambda own, more: F.least(own, more)),
+    "last_before": (False, lambda c, w: F.last(c, ignorenulls=True).over(w), lambda c, at: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(at))), lambda own, more: F.coalesce(own, more)),
+    "first_after": (True, lambda c, w: F.last(c, ignorenulls=True).over(w), lambda c, at: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(at))), lambda own, more: F.coalesce(own, more)),
+}
+
+
 def chunked(df: DataFrame, keys: Sequence[str], chunk: str | None, order: Sequence[str], summary: dict[str, Column], carry: dict[str, tuple[str, str]]) -> DataFrame:
     """Carry a summary of a key's earlier (or later) chunks into each chunk.
 
@@ -157,20 +176,21 @@ def chunked(df: DataFrame, keys: Sequence[str], chunk: str | None, order: Sequen
     aggregates that are combined before the shuffle, the few summaries of a key are scanned, and the result is joined
     back to the rows. summary: column -> aggregate of a chunk. carry: new column -> (how, summary column), how being
     sum_before, max_before, min_after, last_before, first_after. chunk=None says that keys are whole: there is nothing to carry.
+    Without keys summaries are scanned in runs of CHUNKS chunks, to which the runs' own summaries are carried.
     """
     if chunk is None:
         return df.withColumns({n: F.lit(0 if h == "sum_before" else None) for n, (h, _) in carry.items()})
     s = df.groupBy(*keys, chunk).agg(*[v.alias(k) for k, v in summary.items()])
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(1, Window.unboundedFollowing)
-    how = {
-        "sum_before": lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)),
-        "max_before": lambda c: F.max(c).over(before),
-        "min_after": lambda c: F.min(c).over(after),
-        "last_before": lambda c: F.last(c, ignorenulls=True).over(before),
-        "first_after": lambda c: F.first(c, ignorenulls=True).over(after),
-    }
-    s = s.select(*keys, chunk, *[how[h](c).alias(n) for n, (h, c) in carry.items()])
+    if keys:
+        over = Window.partitionBy(*keys)
+        s = s.select(*keys, chunk, *[_CARRY[h][1](c, _rows_before(over, chunk, _CARRY[h][0])).alias(n) for n, (h, c) in carry.items()])
+    else:
+        s = s.withColumn("__run", F.floor(F.col(chunk) / F.lit(CHUNKS)).cast("bigint"))
+        runs = s.groupBy("__run").agg(*[_CARRY[h][2](c, chunk).alias(n) for n, (h, c) in carry.items()])
+        one = Window.partitionBy()
+        runs = runs.select("__run", *[_CARRY[h][1](n, _rows_before(one, "__run", _CARRY[h][0])).alias(f"__more_{n}") for n, (h, _) in carry.items()])
+        over = Window.partitionBy("__run")
+        s = s.join(runs, "__run").select(chunk, *[_CARRY[h][3](_CARRY[h][1](c, _rows_before(over, chunk, _CARRY[h][0])), F.col(f"__more_{n}")).alias(n) for n, (h, c) in carry.items()])
     l, r = df.alias("l"), s.alias("r")
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, chunk]]
     cond = on[0]
@@ -196,13 +216,24 @@ def running_offset(df: DataFrame, order_by: Sequence[str], value: str, name: str
     return fixed.join(F.broadcast(offset), part).withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)) + F.col(off)).drop(part, off)
 
 
-def chunk_width(df: DataFrame, at: str, t: T.DataType, pieces: int = 512) -> float:
-    """Width of the pieces in which a key's rows are scanned: a week of times, else the span of the column cut into so many."""
-    if is_time(t):
-        return 7 * 86_400_000_000
-    lo, hi = df.where((F.abs(F.col(at).cast("double")) < float("inf"))).agg(F.min(at).cast("double"), F.max(at).cast("double")).first()
-    width = (hi - lo) / pieces if lo is not None else 1.0
-    return width if width > 0 else 1.0
+#: Rows that a piece of the axis holds on average.
+PIECE_ROWS = 100_000
+
+
+def chunk_width(df: DataFrame, at: str, t: T.DataType, keys: Sequence[Column] = ()) -> float:
+    """Width of the pieces of the axis in which rows are scanned: about PIECE_ROWS rows of the largest key (of the table, without keys) in each.
+
+    Rows' density is that between the first and the last hundredth of them, so that a few far ends don't stretch the pieces.
+    """
+    x = F.col(at).cast("double")
+    d = df.where(F.abs(x) < float("inf"))
+    row = d.agg(F.percentile_approx(x, [0.01, 0.99], 1000).alias("p"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if not row.n:
+        return 1.0
+    n = d.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] if keys else row.n
+    span = row.p[1] - row.p[0] or (row.hi - row.lo) / 512
+    width = span / max(1.0, n / PIECE_ROWS)
+    return max(width, 1.0) if is_time(t) else width if width > 0 else 1.0
 
 
 def pieces_of(c: Column, width: float) -> Column:

@@ -27,7 +27,7 @@ def combine_intervals(df: DataFrame, start_col: str = "start", stop_col: str | N
     base = df.select(*[q(c).alias(n) for c, n in zip([*keys, *attrs], [*ks, *ats])], clean(df, start_col).alias("s"), end.alias("e"))
     base = base.select(*ks, *ats, numeric_axis(base, "s").alias("s"), numeric_axis(base, "e").alias("e")).where("s <= e")
     # Keys stay whole unless one is hot; without keys the axis is always cut.
-    cut = pieces_of(F.col("t"), chunk_width(base, "s", t)) if not ks or hot(base, [F.col(k) for k in ks]) else None
+    cut = pieces_of(F.col("t"), chunk_width(base, "s", t, [F.col(k) for k in ks])) if not ks or hot(base, [F.col(k) for k in ks]) else None
     events = lambda d, names: d.select(*names, F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("e").alias("t"), F.lit(-1).alias("d")))).alias("x")).select(*names, "x.t", "x.d")
     ev = events(base, [*ks, *ats])
     if attrs:
@@ -77,7 +77,7 @@ def group_intervals(df: DataFrame, group_by=None, point_col: str | None = None,
     part = [*ks, own]
     pieces = not keys or hot(d, [q(k) for k in part])
     if pieces:
-        d = d.withColumn(ch, F.coalesce(pieces_of(q(s), chunk_width(d, s, type_of(df, start_col))), F.lit(2**62 + 1)))
+        d = d.withColumn(ch, F.coalesce(pieces_of(q(s), chunk_width(d, s, type_of(df, start_col), [q(k) for k in part] if keys else ())), F.lit(2**62 + 1)))
     cut, c = (ch, [ch]) if pieces else (None, [])
     o = [q(s).asc_nulls_last(), q(rid)]
     last = F.max(F.struct(q(s).isNull(), q(s), q(rid), q(e).alias("e")))

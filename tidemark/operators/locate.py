@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..common import as_list, fresh, need_columns, q, require, row_ids
 
 
-def _rows(df: DataFrame, rows, pos: str):
-    """Condition on positions: a slice, a mask, a list of positions, or one position (negative ones count from the end)."""
+#: Positions and keys beyond this many are joined as a table instead of listed in the plan.
+LISTED = 1000
+
+
+def _rows(df: DataFrame, rows, pos: str) -> tuple[DataFrame, Column]:
+    """The table and a condition on its positions: a slice, a mask, a list of positions, or one position (negative ones count from the end)."""
     n = None
 
     def size() -> int:
@@ -23,9 +29,9 @@ def _rows(df: DataFrame, rows, pos: str):
         else:
             lo, hi, step = rows.start or 0, rows.stop, rows.step or 1
         if step < 0:
-            return q(pos).isin(*range(lo, hi, step))
+            return df, (q(pos) <= lo) & (q(pos) > hi) & ((F.lit(lo) - q(pos)) % -step == 0)
         cond = (q(pos) >= lo) & ((q(pos) - lo) % step == 0)
-        return cond if hi is None else cond & (q(pos) < hi)
+        return df, cond if hi is None else cond & (q(pos) < hi)
     if hasattr(rows, "tolist"):
         rows = rows.tolist()
     if isinstance(rows, int) and not isinstance(rows, bool):
@@ -37,7 +43,11 @@ def _rows(df: DataFrame, rows, pos: str):
         rows = [i for i, x in enumerate(rows) if x]
     if any(x < 0 for x in rows):
         rows = [x + size() if x < 0 else x for x in rows]
-    return q(pos).isin(*rows) if rows else F.lit(False)
+    if len(rows) <= LISTED:
+        return df, q(pos).isin(*rows) if rows else F.lit(False)
+    at, hit = fresh(df, "__wanted", "__hit")
+    wanted = df.sparkSession.createDataFrame(pd.DataFrame({at: sorted(set(rows))})).withColumn(hit, F.lit(True))
+    return df.join(wanted, q(pos) == q(at), "left").drop(at), q(hit).isNotNull()
 
 
 def iloc_loc(df: DataFrame, rows, cols, order_by=None) -> DataFrame:
@@ -46,7 +56,8 @@ def iloc_loc(df: DataFrame, rows, cols, order_by=None) -> DataFrame:
     need_columns(df, names)
     (pos,) = fresh(df, "__pos")
     d = row_ids(df, pos, order_by)
-    return d.where(_rows(d, rows, pos)).select(*[q(c) for c in names])
+    d, cond = _rows(d, rows, pos)
+    return d.where(cond).select(*[q(c) for c in names])
 
 
 def iloc_loc_assign(df: DataFrame, rows, cols, value, order_by=None) -> DataFrame:
@@ -55,8 +66,8 @@ def iloc_loc_assign(df: DataFrame, rows, cols, value, order_by=None) -> DataFram
     need_columns(df, names)
     (pos,) = fresh(df, "__pos")
     d = row_ids(df, pos, order_by)
-    cond = _rows(d, rows, pos)
-    return d.withColumns({c: F.when(cond, F.lit(value).cast(df.schema[c].dataType)).otherwise(q(c)) for c in names}).drop(pos)
+    d, cond = _rows(d, rows, pos)
+    return d.withColumns({c: F.when(cond, F.lit(value).cast(df.schema[c].dataType)).otherwise(q(c)) for c in names}).select(*[q(c) for c in df.columns])
 
 
 def get_loc(df: DataFrame, key_cols, target, order_by=None, allow_mask: bool = True, allow_slice: bool = True) -> DataFrame:
@@ -68,7 +79,6 @@ def get_loc(df: DataFrame, key_cols, target, order_by=None, allow_mask: bool = T
     keys = as_list(key_cols)
     need_columns(df, keys)
     d = row_ids(df, "__pos", order_by)
-    equal = lambda t: _all([q(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, t)])
     if isinstance(target, slice):
         require(allow_slice and len(keys) == 1, "slices need a single key column")
         cond = F.lit(True)
@@ -81,24 +91,25 @@ def get_loc(df: DataFrame, key_cols, target, order_by=None, allow_mask: bool = T
         target = target.tolist()
     if isinstance(target, list):
         if target and all(isinstance(x, bool) for x in target) and allow_mask:
-            return d.where(_rows(d, target, "__pos")).select(F.col("__pos").alias("position"))
+            d, cond = _rows(d, target, "__pos")
+            return d.where(cond).select(F.col("__pos").alias("position"))
         targets = [x if isinstance(x, tuple) else (x,) for x in target]
     else:
         targets = [target if isinstance(target, tuple) else (target,)]
     if any(len(t) > len(keys) for t in targets):
         raise KeyError(target)
-    cond = F.lit(False)
-    for t in targets:
-        cond = cond | equal(t)
-    found = d.where(cond)
-    for t in targets:
-        if found.where(equal(t)).isEmpty():
-            raise KeyError(t if len(t) > 1 else t[0])
-    return found.select(F.col("__pos").alias("position"))
-
-
-def _all(cs):
-    out = F.lit(True)
-    for c in cs:
-        out = out & c
-    return out
+    # One join for each number of key columns that is given, however many keys there are.
+    found = None
+    for k in sorted({len(t) for t in targets}):
+        names = [f"t{i}" for i in range(k)]
+        schema = T.StructType([T.StructField(n, df.schema[c].dataType) for n, c in zip(names, keys)])
+        wanted = df.sparkSession.createDataFrame(list(dict.fromkeys(t for t in targets if len(t) == k)), schema)
+        cond = F.lit(True)
+        for c, n in zip(keys, names):
+            cond = cond & q(c).eqNullSafe(F.col(n))
+        missing = wanted.join(d, cond, "left_anti").first()
+        if missing is not None:
+            raise KeyError(tuple(missing) if k > 1 else missing[0])
+        here = d.join(wanted, cond, "left_semi").select(F.col("__pos").alias("position"))
+        found = here if found is None else found.unionByName(here).distinct()
+    return d.limit(0).select(F.col("__pos").alias("position")) if found is None else found

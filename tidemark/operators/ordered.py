@@ -29,8 +29,8 @@ def prev_next_values(df: DataFrame, sort_by=None, group_by=None, columns=None, f
     columns: {column: {prev_name, prev_fill, next_name, next_fill}}, or names, which give <name>_prev and <name>_next. Missing
     values aren't skipped; fills stand at a group's first and last row. Unknown columns are passed over. A row with a missing
     key is a group of its own. inplace=False gives only the new columns (and row_id, if named). keep_sorted sorts the result.
-    Without group_by the table is cut into pieces by position, and so is a key of more than
-    HOT_ROWS rows by its first sort column, so no task holds it all.
+    Without group_by the table is cut into pieces by position; if a key has more than HOT_ROWS rows, keys are cut into pieces of
+    their first sort column, or by position if that is neither a number nor a time. So no task holds such a key.
     """
     sort, keys = as_list(sort_by), as_list(group_by)
     require(len(sort) > 0, "sort_by is needed")
@@ -42,13 +42,17 @@ def prev_next_values(df: DataFrame, sort_by=None, group_by=None, columns=None, f
         return df if inplace else df.select(*as_list(row_id))
     rid = row_id
     original = df.columns
-    if not keys or rid is None:
-        (rid2,) = fresh(df, "__pos")
-        df = row_ids(df, rid2, [*[clean(df, c).asc_nulls_last() for c in sort], *([q(row_id).asc_nulls_last()] if row_id else [])] if not keys else None)
-        rid = rid2
-    part = _keys_of(df, keys, rid)
     axis = is_time(type_of(df, sort[0])) or isinstance(type_of(df, sort[0]), T.NumericType)
-    if keys and not (axis and hot(df, part)):
+    if keys and rid is None:
+        (rid,) = fresh(df, "__pos")
+        df = row_ids(df, rid)
+    part = _keys_of(df, keys, rid)
+    whole = bool(keys) and not hot(df, part)
+    if not whole and not (keys and axis):  # pieces by position
+        (rid2,) = fresh(df, "__at")
+        df = row_ids(df, rid2, [*[clean(df, c).asc_nulls_last() for c in sort], *([q(rid).asc_nulls_last()] if rid else [])])
+        rid, part = rid2, _keys_of(df, keys, rid2)
+    if whole:
         order = [*[clean(df, c).asc_nulls_last() for c in sort], q(rid)]
         w = Window.partitionBy(*part).orderBy(*order)
         lag, lead = (lambda c, i: F.lag(F.struct(c.alias("v"))).over(w)), (lambda c, i: F.lead(F.struct(c.alias("v"))).over(w))
@@ -58,10 +62,9 @@ def prev_next_values(df: DataFrame, sort_by=None, group_by=None, columns=None, f
         names = fresh(df, "__piece", "__before", "__after", *[f"__k{i}" for i in range(len(part))])
         piece, before, after, ks = names[0], names[1], names[2], names[3:]
         df = df.withColumns(dict(zip(ks, part))) if ks else df
-        if keys:
+        if keys and axis:
             x = clean(df, sort[0]) if not is_time(type_of(df, sort[0])) else micros(q(sort[0]), type_of(df, sort[0]))
-            line = df.withColumn(piece, x)
-            df = df.withColumn(piece, F.coalesce(pieces_of(x, chunk_width(line, piece, type_of(df, sort[0]))), F.lit(2**62 + 1)))
+            df = df.withColumn(piece, F.coalesce(pieces_of(x, chunk_width(df.withColumn(piece, x), piece, type_of(df, sort[0]), [q(k) for k in ks])), F.lit(2**62 + 1)))
         else:
             df = df.withColumn(piece, F.floor(q(rid) / F.lit(PIECE)).cast("bigint"))
         place = [y for j, c in enumerate(sort) for y in (clean(df, c).isNull().alias(f"n{j}"), clean(df, c).alias(f"s{j}"))]
@@ -95,7 +98,8 @@ def impute(df: DataFrame, method: str = "ffill", group_by=None, limit: int | Non
 
     ffill, bfill: last or next known value, at most `limit` rows away. afill: the mean of both, or the one there is. linear:
     on the line between both by row position, the first `limit` rows of a gap. lfill: linear, then ffill, then bfill. columns:
-    all but the keys and order by default; those that aren't numbers or times only by ffill and bfill.
+    all but the keys and order by default; those that aren't numbers or times only by ffill and bfill. Work grows with the rows
+    of a key, not their square; tables without keys, and keys of more than HOT_ROWS rows, are scanned in pieces.
     """
     require(method in ("ffill", "bfill", "afill", "linear", "lfill"), f"unknown method: {method!r}")
     require(limit is None or limit > 0, "limit must be positive")
@@ -111,19 +115,25 @@ def impute(df: DataFrame, method: str = "ffill", group_by=None, limit: int | Non
         return df
     ks = [clean(df, k) for k in keys]
     axis = is_time(type_of(df, order[0])) or isinstance(type_of(df, order[0]), T.NumericType)
-    helper = fresh(df, "__piece", "__rn", "__base", *[f"__k{i}" for i in range(len(ks))], *[f"{e}{i}" for i in range(len(names)) for e in ("__p", "__n")])
-    piece, rn, base, kn, edges = helper[0], helper[1], helper[2], helper[3 : 3 + len(ks)], helper[3 + len(ks) :]
+    helper = fresh(df, "__piece", "__rn", "__base", "__at", *[f"__k{i}" for i in range(len(ks))], *[f"{e}{i}" for i in range(len(names)) for e in ("__p", "__n")])
+    piece, rn, base, pos, kn, edges = *helper[:4], helper[4 : 4 + len(ks)], helper[4 + len(ks) :]
     d = df.withColumns(dict(zip(kn, ks))) if kn else df
-    pieces = axis and (not keys or hot(df, ks))
+    pieces = not keys or hot(df, ks)
     by = [c.asc_nulls_last() for c in [clean(d, order[0]), *[q(c) for c in order[1:]]]]
     if pieces:
-        x = clean(d, order[0]) if not is_time(type_of(df, order[0])) else micros(q(order[0]), type_of(df, order[0]))
-        d = d.withColumn(piece, F.coalesce(pieces_of(x, chunk_width(d.withColumn(piece, x), piece, type_of(df, order[0]))), F.lit(2**62 + 1)))
-        d = chunked(d, kn, piece, order, {"__c": F.count(F.lit(1))}, {base: ("sum_before", "__c")})
+        if axis:
+            x = clean(d, order[0]) if not is_time(type_of(df, order[0])) else micros(q(order[0]), type_of(df, order[0]))
+            cut = F.coalesce(pieces_of(x, chunk_width(d.withColumn(piece, x), piece, type_of(df, order[0]), [q(k) for k in kn])), F.lit(2**62 + 1))
+        else:
+            d = row_ids(d, pos, by)
+            by, cut = [q(pos)], F.floor(q(pos) / F.lit(PIECE)).cast("bigint")
+        d = chunked(d.withColumn(piece, cut), kn, piece, order, {"__c": F.count(F.lit(1))}, {base: ("sum_before", "__c")})
     else:
         d = d.withColumns({piece: F.lit(0), base: F.lit(0)})
     w = Window.partitionBy(*kn, piece).orderBy(*by)
     d = d.withColumn(rn, q(base) + F.row_number().over(w))
+    # Rows' numbers leave no ties, so the reverse order is the same order read backwards.
+    before, after = (Window.partitionBy(*kn, piece).orderBy(c).rowsBetween(Window.unboundedPreceding, 0) for c in (q(rn).asc(), q(rn).desc()))
     at = lambda c: F.when(clean(d, c).isNotNull(), F.struct(q(rn).alias("r"), clean(d, c).alias("v")))
     if pieces:
         known = {f"__m{k}{i}": f(at(c)) for i, c in enumerate(names) for k, f in (("x", F.max), ("n", F.min))}
@@ -133,7 +143,7 @@ def impute(df: DataFrame, method: str = "ffill", group_by=None, limit: int | Non
     for i, c in enumerate(names):
         t, v = type_of(df, c), clean(df, c)
         # The known values around each row, with their row numbers, within the piece or carried from other pieces.
-        p, n = F.last(at(c), True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(at(c), True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        p, n = F.last(at(c), True).over(before), F.last(at(c), True).over(after)
         if pieces:
             p, n = F.coalesce(p, q(edges[2 * i])), F.coalesce(n, q(edges[2 * i + 1]))
         near = (lambda a, b: F.lit(True)) if limit is None else (lambda a, b: a - b <= limit)

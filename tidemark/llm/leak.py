@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..common import need_columns, q, require
+from ..common import checkpoint, need_columns, q, require, small
 from .subtitles import cues, fold, skeleton, tokens
 
 BITS, BLOCKS = 64, 4
 #: All fingerprints within this many bits are found: fewer than there are blocks, so one block agrees.
 RADIUS = BLOCKS - 1
-#: Words of a fingerprinted window: any run of twice as many words with one unreadable word holds a whole window.
+#: Words of a fingerprinted window, half the words of the shortest run: of two windows side by side one holds at most one of three unreadable words.
 WINDOW = 6
-#: Words of labels, sound descriptions and repetitions that may lie within a run for the first, cheap test of a text.
-OTHERS = 8
-#: Items whose index a task may hold in memory.
-MAX_ITEMS = 200_000
+#: Words of a run that the search may be unable to read.
+UNREAD = 3
+#: Items' words that a worker holds; items with more words between them are searched in several passes.
+MAX_WORDS = 50_000
+#: Rows of the items' fingerprints (four numbers each) that may be broadcast; more are joined by a shuffle.
+INDEX_ROWS = 1_000_000
 
 
 def reach(word: str) -> int:
@@ -60,11 +63,8 @@ def _drops(w: str, n: int) -> set[str]:
     return found
 
 
-_LETTER = re.compile(r"[^\W\d_]")
-
-
-class Words(dict):
-    """Text as it stands -> id of the passages' word that it is, perhaps damaged; 0 if it is none.
+class Words:
+    """Folded words -> ids of the passages' words that they are, perhaps damaged; 0 if they are none.
 
     Exact folded words and equal skeletons come first, else the one word within its reach of edits; if several are as near,
     it is none of them for the search, but verification still compares it.
@@ -73,16 +73,18 @@ class Words(dict):
     KEPT = 300_000
 
     def __init__(self, vocabulary: list[str]):
-        super().__init__()
         self.names = vocabulary  # id - 1 -> folded word
         self.exact = {w: k for k, w in enumerate(vocabulary, 1)}
         self.shape: dict[str, int] = {}
         self.shapes = [skeleton(w) for w in vocabulary]
+        self.longest_shape = max(map(len, self.shapes), default=0)
         for k, s in enumerate(self.shapes, 1):
             self.shape[s] = k if s not in self.shape else 0
         self.folded: dict[str, int] = {}
         self.compared: dict[tuple[str, int], bool] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.cuts: dict[str, tuple[str, str] | None] = {}
+        self.longest = max(map(len, vocabulary), default=0)
         self.reaches = [reach(w) for w in vocabulary]
         self.near: dict[str, list[int]] = {}
         for k, (w, s) in enumerate(zip(vocabulary, self.shapes), 1):
@@ -99,7 +101,7 @@ class Words(dict):
         k = self.shape.get(s)
         if k is not None:
             return k
-        if len(w) < 2 or len(w) > 40 or w.isdigit():
+        if len(w) < 2 or len(s) > self.longest_shape + 1 or w.isdigit():
             return 0
         best, who = 3, 0
         tried = set()
@@ -124,14 +126,15 @@ class Words(dict):
             k = self.folded[w] = self.of(w)
         return k
 
-    def __missing__(self, raw: str) -> int:
-        """For text as it stands: -1 if it has no letter (a number or time of a cue)."""
-        if len(self) >= self.KEPT:
-            self.clear()
-        if not _LETTER.search(raw):
-            return -1
-        k = self[raw] = self.of_kept(fold(raw)) if len(raw) < 60 else 0
-        return k
+    def cut(self, w: str) -> tuple[str, str] | None:
+        """The two words that were run together in w, if there are such."""
+        if len(w) < 5 or len(w) > 2 * self.longest:
+            return None
+        if w not in self.cuts:
+            if len(self.cuts) >= self.KEPT:
+                self.cuts.clear()
+            self.cuts[w] = next(((w[:p], w[p:]) for p in range(1, len(w)) if w[:p] in self.exact and w[p:] in self.exact), None)
+        return self.cuts[w]
 
     def alike(self, a: str, b: str) -> bool:
         """_alike(), remembered."""
@@ -161,41 +164,48 @@ def speech(text: str, words: Words) -> tuple[list[str], list[int]]:
     ws: list[str] = []
     ids: list[int] = []
     start = 0  # of the last cue
-    memo = words
     for lines in cues(text):
         new = tokens(lines)
         if not new:
             continue
         if ws and ws[-1][-1] == "-":  # a word parted between cues
             ws[-1] = ws[-1][:-1]
-            if ids[-1] == 0 or memo.of(ws[-1] + new[0]):
-                whole = memo.of(ws[-1] + new[0])
-                if whole:
-                    ws[-1] += new[0]
-                    ids[-1] = whole
-                    new = new[1:]
-                    if not new:
-                        continue
-        nid = [memo.of_kept(w.rstrip("-")) for w in new]
-        m = min(len(new), len(ws) - start)
-        while m > 0:
+            whole = words.of(ws[-1] + new[0])
+            if whole:
+                ws[-1] += new[0]
+                ids[-1] = whole
+                new = new[1:]
+                if not new:
+                    continue
+        nid = [words.of_kept(w.rstrip("-")) for w in new]
+        for m in range(min(len(new), len(ws) - start), 0, -1):
             a = len(ws) - m
             for x in range(m):
-                if new[x] != ws[a + x] and not (nid[x] and nid[x] == ids[a + x]) and not words.alike(new[x], ws[a + x]):
+                v, w, k = new[x], ws[a + x], nid[x]
+                if v != w and not (k and k == ids[a + x]) and not ((v[0] == w[0] or v[-1] == w[-1] or len(v) >= 5 <= len(w) or abs(len(v) - len(w)) > 2) and words.alike(v, w)):
                     break
             else:
                 break
-            m -= 1
-        begin = len(ws) - m
+        else:
+            m = 0
+        start = len(ws) - m
         ws += new[m:]
         ids += nid[m:]
-        start = begin
     if ws:
         ws[-1] = ws[-1].rstrip("-") or "?"
-    return _rejoined(ws, ids, words)
+    return ws, ids
 
 
-def _rejoined(ws: list[str], ids: list[int], words: Words) -> tuple[list[str], list[int]]:
+def worth(ids: list[int], least: int) -> bool:
+    """May there be a run of `least` words, all but UNREAD of which are readable? Words broken in two or run together aren't."""
+    known = np.fromiter((k > 0 for k in ids), np.int32, len(ids))
+    if len(known) <= least + UNREAD:
+        return known.sum() >= least - 2 * UNREAD
+    c = np.concatenate([[0], np.cumsum(known)])
+    return bool((c[least + UNREAD :] - c[: -least - UNREAD]).max() >= least - 2 * UNREAD)
+
+
+def rejoined(ws: list[str], ids: list[int], words: Words) -> tuple[list[str], list[int]]:
     """Words broken in two by damage become one again, two words run together become two, where that gives passages' words."""
     w2: list[str] = []
     i2: list[int] = []
@@ -203,19 +213,18 @@ def _rejoined(ws: list[str], ids: list[int], words: Words) -> tuple[list[str], l
     while k < n:
         if k + 1 < n and (ids[k] == 0 or ids[k + 1] == 0 or ws[k] not in words.exact):
             both = ws[k] + ws[k + 1]
-            j = words.of_kept(both) if 5 <= len(both) < 30 else 0
+            j = words.of_kept(both) if len(both) >= 5 else 0
             if j and ids[k] != j and (ids[k + 1] != j or both in words.exact):
                 w2.append(both)
                 i2.append(j)
                 k += 2
                 continue
         w = ws[k]
-        if 5 <= len(w) < 40 and (ids[k] == 0 or (w not in words.exact and skeleton(w) not in words.shape)):
-            cut = next(((a, b, p) for p in range(1, len(w)) if (a := words.exact.get(w[:p])) and (b := words.exact.get(w[p:]))), None)
+        if len(w) >= 5 and (ids[k] == 0 or (w not in words.exact and skeleton(w) not in words.shape)):
+            cut = words.cut(w)
             if cut:
-                a, b, p = cut
-                w2 += [w[:p], w[p:]]
-                i2 += [a, b]
+                w2 += cut
+                i2 += [words.exact[x] for x in cut]
                 k += 1
                 continue
         w2.append(w)
@@ -235,144 +244,174 @@ def _alike(a: str, b: str) -> bool:
     return s == t or (len(s) > 4 and edits(s, t, 1) <= 1)
 
 
-class Index:
-    """Items' windows by fingerprint blocks."""
-
-    def __init__(self, items: list[tuple[int, str]], least: int):
-        toks = [(i, [f for f in (fold(w) for w in p.split()) if f and f != "?"]) for i, p in items if p]
-        toks = [(i, t) for i, t in toks if len(t) >= least]
-        counts: dict[str, int] = {}
-        for _, t in toks:
-            for w in set(t):
-                counts[w] = counts.get(w, 0) + 1
-        self.least = least
-        self.words = Words(sorted(counts))
-        self.ids = [np.array([self.words.exact[w] for w in t], dtype=np.int32) for _, t in toks]
-        self.items = [i for i, _ in toks]
+class Search(Words):
+    """Words with the vectors of their fingerprints."""
+
+    def __init__(self, known: list[tuple[str, float]]):
+        super().__init__([w for w, _ in known])
         rng = np.random.default_rng(7)
-        v = len(self.words.names) + 1
-        # A word's vector is its random signs, weighted by how rare it is among the items.
-        weight = np.array([0.0, *[1.0 + np.log((1 + len(toks)) / (1 + counts[w])) for w in self.words.names]])
-        self.vectors = (np.where(rng.random((v, BITS)) < 0.5, -1.0, 1.0) * weight[:, None]).astype(np.float32)
-        prints, who, at = [], [], []
-        for k, ids in enumerate(self.ids):
-            p = self.fingerprints(ids)
-            prints.append(p)
-            who.append(np.full(len(p), k))
-            at.append(np.arange(len(p)))
-        self.prints = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
-        self.who = np.concatenate(who) if prints else np.zeros(0, int)
-        self.at = np.concatenate(at) if prints else np.zeros(0, int)
-        self.blocks = []
-        for b in range(BLOCKS):
-            key = ((self.prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            order = np.argsort(key, kind="stable")
-            starts = np.searchsorted(key[order], np.arange(65537))
-            self.blocks.append((order, starts))
-        self.longest = max((len(x) for x in self.ids), default=0)
-
-    def fingerprints(self, ids: np.ndarray) -> np.ndarray:
-        c = np.cumsum(self.vectors[ids], axis=0, dtype=np.float64)
+        # A word's vector is its random signs, weighted by how rare it is among the items; an unreadable word has none.
+        self.weight = np.array([0.0, *[x for _, x in known]])
+        self.vectors = (np.where(rng.random((len(known) + 1, BITS)) < 0.5, -1.0, 1.0) * self.weight[:, None]).round(3)
+
+    def prints(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of all windows' vectors, and their fingerprints."""
+        c = np.cumsum(self.vectors[ids], axis=0)
         s = c[WINDOW - 1 :].copy()
         s[1:] -= c[:-WINDOW]
-        bits = np.round(s, 3) > 0
-        return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
-
-    def candidates(self, ids: np.ndarray) -> np.ndarray:
-        """(item, item place - text place) of windows within the radius."""
-        if len(ids) < WINDOW:
-            return np.zeros((0, 2), int)
-        known = np.convolve(ids > 0, np.ones(WINDOW, int), "valid")
-        at = np.flatnonzero(known >= WINDOW - 1)
-        if not len(at):
-            return np.zeros((0, 2), int)
-        p = self.fingerprints(ids)[at]
-        found = []
-        for b, (order, starts) in enumerate(self.blocks):
-            key = ((p >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            lo, n = starts[key], starts[key + 1] - starts[key]
-            total = int(n.sum())
-            if not total:
-                continue
-            mine = np.repeat(np.arange(len(p)), n)
-            theirs = order[np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-            near = np.bitwise_count(self.prints[theirs] ^ p[mine]) <= RADIUS
-            found.append(np.stack([self.who[theirs[near]], self.at[theirs[near]] - at[mine[near]]], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), int)
-
-    def worth(self, ids: np.ndarray) -> bool:
-        """Can there be a run? It has `least` words of the items, at most two unreadable, with at most OTHERS between."""
-        known = (ids[ids >= 0] > 0).astype(np.int16)
-        if len(known) < self.least - 2:
-            return False
-        c = np.concatenate([[0], np.cumsum(known)])
-        n = min(self.least + OTHERS, len(known))
-        return bool((c[n:] - c[:-n]).max() >= self.least - 2)
-
-    def leaks(self, text: str) -> list[int]:
-        """Items of which the text's speech has `least` consecutive words."""
-        raw = text.split()
-        quick = np.fromiter(map(self.words.__getitem__, raw), dtype=np.int32, count=len(raw))
-        if not self.worth(quick):
-            return []
-        ws, idl = speech(text, self.words)
-        ids = np.array(idl, dtype=np.int32)
-        c = self.candidates(ids)
-        if not len(c):
-            return []
-        found = []
-        # Longest run of each diagonal, counting words that are read as the item's or may be it.
-        unread = ids == 0
-        for k, shift in c:
-            item = self.ids[k]
-            if found and found[-1] == k:
-                continue
-            lo, hi = max(0, -shift), min(len(ids), len(item) - shift)
-            if hi - lo < self.least:
-                continue
-            same = ids[lo:hi] == item[lo + shift : hi + shift]
-            may = same | unread[lo:hi]
-            if not _run(may, self.least):
-                continue
-            maybe = np.flatnonzero(may & ~same)
-            for x in maybe:
-                same[x] = self.words.same(ws[lo + x], int(item[lo + x + shift]))
-            if _run(same, self.least):
-                found.append(k)
-        return [self.items[k] for k in dict.fromkeys(found)]
-
-
-def _run(ok: np.ndarray, least: int) -> bool:
-    no = np.flatnonzero(~ok)
-    edges = np.concatenate([[-1], no, [len(ok)]])
-    return bool((np.diff(edges) - 1 >= least).any())
-
-
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", least: int = 12) -> DataFrame:
+        return s, self.bits(s)
+
+    @staticmethod
+    def bits(sums: np.ndarray) -> np.ndarray:
+        return np.packbits(np.round(sums, 3) > 0, axis=1, bitorder="little").view(np.int64).ravel()
+
+    def windows(self, ids: list[int]) -> Iterator[tuple[int, int, int]]:
+        """(place, missing, fingerprint) of the windows with at most one unreadable word; missing: its place in the window, WINDOW if there is none."""
+        a = np.array(ids, dtype=np.int64)
+        if len(a) < WINDOW:
+            return
+        unread = a == 0
+        at = np.flatnonzero(np.convolve(unread, np.ones(WINDOW, int), "valid") <= 1)
+        if len(at):
+            inside = unread[at[:, None] + np.arange(WINDOW)]
+            missing = np.where(inside.any(axis=1), inside.argmax(axis=1), WINDOW)
+            first, last = int(at[0]), int(at[-1])
+            p = self.prints(a[first : last + WINDOW])[1][at - first]
+            yield from zip(at.tolist(), missing.tolist(), p.tolist())
+
+    def item_windows(self, ids: list[int]) -> Iterator[tuple[int, int, int]]:
+        """The same of an item's words: every window whole, and with each of its words left out."""
+        a = np.array(ids, dtype=np.int64)
+        sums, p = self.prints(a)
+        yield from zip(range(len(p)), [WINDOW] * len(p), p.tolist())
+        for k in range(WINDOW):
+            p = self.bits(sums - self.vectors[a[k : k + len(sums)]])
+            yield from zip(range(len(p)), [k] * len(p), p.tolist())
+
+    def similarity(self, mine: list[str], item: list[str], shift: int, least: int, shingle: int = 5) -> float:
+        """Best weighted share of an item's word shingles, over stretches of `least` words, that the text has in the same places.
+
+        Word k of the text stands against word k + shift of the item. A damaged word is the item's word; a shingle counts with
+        the rarity of its words, and is there if all its words are. 1 means that a stretch is there word for word.
+        """
+        lo, hi = max(0, -shift), min(len(mine), len(item) - shift)
+        if hi - lo < least:
+            return 0.0
+        mine, item = mine[lo:hi], item[lo + shift : hi + shift]
+        k = np.array([self.exact[x] for x in item])
+        ok = np.array([x == y or self.same(x, int(z)) for x, y, z in zip(mine, item, k)], dtype=float)
+        n = min(shingle, least)
+        view = np.lib.stride_tricks.sliding_window_view
+        weight = view(self.weight[k], n).sum(axis=1)
+        found = weight * view(ok, n).min(axis=1)
+        whole = np.ones(least - n + 1)
+        return float((np.convolve(found, whole, "valid") / np.convolve(weight, whole, "valid")).max())
+
+
+def item_words(passage: str) -> list[str]:
+    return [f for f in (fold(w) for w in passage.split()) if f and f != "?"]
+
+
+def blocks(df: DataFrame) -> DataFrame:
+    """A row for each block of a fingerprint, with the key by which fingerprints meet."""
+    parts = [F.struct(F.lit(b).alias("b"), F.shiftrightunsigned("fp", 16 * b).bitwiseAND(F.lit(0xFFFF)).alias("v")) for b in range(BLOCKS)]
+    d = df.withColumn("x", F.explode(F.array(*parts)))
+    return d.withColumn("key", ((F.col("missing") * BLOCKS + F.col("x.b")) * 65536 + F.col("x.v")).cast("bigint")).withColumn("block", F.col("x.b")).drop("x")
+
+
+def within_radius(a: Column, b: Column, block: Column) -> Column:
+    """Do fingerprints that agree on a block lie within the radius, and on none of the blocks before? So each pair counts once."""
+    differ = a.bitwiseXOR(b)
+    met = F.bit_count(differ) <= RADIUS
+    for k in range(BLOCKS - 1):
+        met = met & ((block <= k) | (differ.bitwiseAND(F.lit(0xFFFF << (16 * k))) != 0))
+    return met
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", least: int = 12, similarity: float = 1.0) -> DataFrame:
     """(item_id, doc_id): documents whose speech has at least `least` consecutive words of an item's passage, one row per pair.
 
     Case, punctuation and accents don't count; cue numbers, times, markup, line breaks, labels and sound descriptions don't
     interrupt; words repeated from the cue before count once; damaged words are still those words, other words aren't. Null
     and empty texts and passages shorter than `least` words have no leaks; repeated rows give one row; whole texts are
-    searched. Items are held-out material of a fixed size: at most MAX_ITEMS, else the call fails rather than broadcast more.
-
-    Method: every text's windows get a SimHash of their words' rarity-weighted signs; blocks of the fingerprint find all item
-    windows within the radius; each candidate's alignment is then verified word by word. Texts are only read once, with no
-    shuffle but that of the found pairs.
+    searched. similarity: least weighted share of a stretch's five-word shingles; below 1, stretches with other words count too.
+
+    Method: windows of WINDOW words get a SimHash of their words' rarity-weighted signs, in the texts as in the items; windows
+    with one unreadable word get that of the other words, as do the items' windows for each word left out. Fingerprints meet by
+    equi-joins of their blocks, which find all within RADIUS bits; the exact weighted-shingle similarity of the words around
+    them verifies each candidate. Found are all runs with at most UNREAD words that the search can't read (verification
+    reads more damage than the search does). Texts are read once and not sent; only windows of the items' words are, with
+    their surroundings. Items beyond MAX_WORDS different words are searched in several passes.
     """
     need_columns(docs, [doc_id, text], "documents")
     need_columns(items, [item_id, passage], "items")
     require(least >= 2 * WINDOW, f"least must be at least {2 * WINDOW}")
-    rows = items.select(q(item_id), q(passage)).where(q(item_id).isNotNull() & q(passage).isNotNull()).distinct().limit(MAX_ITEMS + 1).collect()
-    require(len(rows) <= MAX_ITEMS, f"more than {MAX_ITEMS} items")
-    known = docs.sparkSession.sparkContext.broadcast(sorted((r[0], r[1]) for r in rows))
+    spark = docs.sparkSession
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Index(known.value, least)
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(i, d) for d, t in zip(b["d"], b["t"]) if t for i in index.leaks(t)]
-            yield pd.DataFrame({"i": pd.Series([i for i, _ in out], dtype="object"), "d": pd.Series([d for _, d in out], dtype="object")})
+            ws = [item_words(p) for p in b["p"]]
+            yield pd.DataFrame({"p": b["p"], "ws": ws})[[len(w) >= least for w in ws]]
 
-    it, dt = items.schema[item_id].dataType.simpleString(), docs.schema[doc_id].dataType.simpleString()
+    every = items.select(q(item_id).alias("i"), q(passage).alias("p")).where("i is not null and p is not null").distinct()
+    # Equal passages are one item to the search.
+    texts = checkpoint(every.select("p").distinct().mapInPandas(read, "p string, ws array<string>").withColumn("item", F.monotonically_increasing_id()))
     src = docs.select(q(doc_id).alias("d"), q(text).alias("t")).where("d is not null and t is not null")
-    return src.mapInPandas(run, f"i {it}, d {dt}").distinct().select(F.col("i").alias(item_id), F.col("d").alias(doc_id))
+    n = texts.select(F.explode("ws").alias("w")).agg(F.count_distinct("w")).first()[0]
+    found = None
+    for k in range(passes := -(-n // MAX_WORDS)):
+        some = texts if passes == 1 else texts.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k)
+        got = _search(spark, src, some.select("item", "ws"), least, similarity)
+        found = got if found is None else found.unionByName(got)
+    if found is None:
+        return spark.createDataFrame([], T.StructType([T.StructField(item_id, items.schema[item_id].dataType), T.StructField(doc_id, docs.schema[doc_id].dataType)]))
+    of = texts.select("item", "p").join(every, "p").select("item", "i")
+    return found.join(small(of), "item").select(F.col("i").alias(item_id), F.col("d").alias(doc_id)).distinct()
+
+
+def _search(spark: SparkSession, src: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
+    """(item, d) of the leaks of some items (item, ws)."""
+    total = texts.count()
+    counts = texts.select("item", F.explode(F.array_distinct("ws")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    known = spark.sparkContext.broadcast({"words": sorted((r.w, 1.0 + math.log((1 + total) / (1 + r.n))) for r in counts.collect())})
+    around = least - WINDOW
+
+    def search() -> Search:
+        """Built once in a worker, which keeps the broadcast value."""
+        box = known.value
+        if "built" not in box:
+            box["built"] = Search(box["words"])
+        return box["built"]
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = search()
+        for b in batches:
+            rows = [(i, *x) for i, ws in zip(b["item"], b["ws"]) for x in s.item_windows([s.exact[w] for w in ws])]
+            yield pd.DataFrame(rows, columns=["item", "place", "missing", "fp"])
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = search()
+        for b in batches:
+            rows = []
+            for d, t in zip(b["d"], b["t"]):
+                ws, ids = speech(t, s)
+                if not worth(ids, least):
+                    continue
+                ws, ids = rejoined(ws, ids, s)
+                for at, missing, fp in s.windows(ids):
+                    a = max(0, at - around)
+                    rows.append((d, at - a, missing, fp, " ".join(ws[a : at + WINDOW + around])))
+            yield pd.DataFrame(rows, columns=["d", "at", "missing", "fp", "near"])
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = search()
+        for b in batches:
+            ok = [s.similarity(near.split(" "), list(ws), place - at, least) >= similarity - 1e-9 for near, at, ws, place in zip(b["near"], b["at"], b["ws"], b["place"])]
+            yield b.loc[ok, ["item", "d"]]
+
+    d = src.schema["d"].dataType.simpleString()
+    ix = checkpoint(blocks(texts.mapInPandas(index, "item bigint, place int, missing int, fp bigint")).select("key", "block", F.col("fp").alias("ifp"), "item", "place"))
+    w = blocks(src.mapInPandas(windows, f"d {d}, at int, missing int, fp bigint, near string"))
+    w = w.join(small(ix.withColumnRenamed("block", "iblock"), INDEX_ROWS), "key")
+    pairs = w.where(within_radius(F.col("fp"), F.col("ifp"), F.col("block"))).select("d", "near", "at", "item", "place")
+    return pairs.join(small(texts), "item").select("item", "d", "near", "at", "place", "ws").mapInPandas(verify, f"item bigint, d {d}").distinct()

@@ -13,9 +13,10 @@ LOOKALIKES = {
 }
 TIMING = re.compile(r"-->|^\W*\d{1,2}:\d\d(?::\d\d)?[.,]\d+\W+\d{1,2}:\d\d(?::\d\d)?[.,]\d+\W*$")
 NUMBER_LINE = re.compile(r"^[\W_]*\d+[\W_]*$")
-MARKUP = re.compile(r"<[^<>\n]{0,60}>|\{[^{}\n]{0,40}\}")
-SOUND = re.compile(r"\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|（[^（）]{0,80}）|♪[^♪\n]*♪|[♪♫]")
-LABEL = re.compile(r"^[\s\-–—>]*[^\W\d_][\w.'’\- ]{0,24}?\s?\d{0,2}\s*:(?=\s|$)")
+MARKUP = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}")
+SOUND = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|（[^（）]*）|♪[^♪\n]*♪|[♪♫]")
+# A speaker's name: up to 24 characters, or any number of words in capitals.
+LABEL = re.compile(r"^[\s\-–—>]*(?:[^\W\d_][\w.'’\- ]{0,24}?|[^\W\da-z_][^\Wa-z_]*(?:[.'’\- ]+[^\Wa-z_]+)*\.?)\s?\d{0,2}\s*:(?=\s|$)")
 HIDDEN = re.compile("[­​-‏⁠﻿]")
 BREAKS = re.compile(r"\r\n|[\r\n  \x85\x0b\x0c]")
 MOJIBAKE = re.compile("[ÃÂâÅÑÐ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸÂƒ]")
@@ -42,17 +43,18 @@ def misread(line: str) -> str:
 
 
 def cues(text: str) -> list[list[str]]:
-    """Lines of speech of each cue, without numbers, times, markup, labels and sound descriptions."""
+    """Lines of speech of each cue, without numbers, times, markup, labels and sound descriptions of any length."""
     lines = BREAKS.split(HIDDEN.sub("", text))
+    damaged, marked, sounds, escaped = MOJIBAKE.search(text), "<" in text or "{" in text, any(c in text for c in "[(（♪♫"), "&" in text
     out: list[list[str]] = [[]]
     for k, line in enumerate(lines):
-        if TIMING.search(line):
+        if "-->" in line or (":" in line and TIMING.search(line)):
             out.append([])
             continue
         s = line.strip()
         if not s:
             continue
-        if NUMBER_LINE.match(s):
+        if not s[0].isalpha() and NUMBER_LINE.match(s):
             j = k + 1
             while j < len(lines) and not lines[j].strip():
                 j += 1
@@ -63,11 +65,13 @@ def cues(text: str) -> list[list[str]]:
     for cue in out:
         if not cue:
             continue
-        t = "\n".join(misread(x) for x in cue)
-        if "&" in t:
-            t = html.unescape(html.unescape(t))
-        t = SOUND.sub(" ", MARKUP.sub("", t))
-        ls = [LABEL.sub("", x).strip() for x in t.split("\n")]
+        ls = [misread(x) for x in cue] if damaged else cue
+        if escaped or marked or sounds:
+            t = "\n".join(ls)
+            if escaped and "&" in t:
+                t = html.unescape(html.unescape(t))
+            ls = SOUND.sub(" ", MARKUP.sub("", t)).split("\n")
+        ls = [LABEL.sub("", x).strip() if ":" in x else x.strip() for x in ls]
         ls = [x for x in ls if x]
         if ls:
             done.append(ls)
@@ -104,6 +108,21 @@ def skeleton(w: str) -> str:
     return w.translate(_SHAPES).replace("rn", "m").replace("vv", "w").replace("h", "ll").replace("cl", "d")
 
 
+#: Folded words that a worker remembers.
+KEPT = 300_000
+_FOLDED: dict[str, str] = {}
+
+
+def folded(word: str) -> str:
+    """fold(), remembered for a bounded number of words."""
+    f = _FOLDED.get(word)
+    if f is None:
+        if len(_FOLDED) >= KEPT:
+            _FOLDED.clear()
+        f = _FOLDED[word] = fold(word)
+    return f
+
+
 def tokens(lines: list[str]) -> list[str]:
     """Folded words of a cue's lines; a word parted at a line's end by a hyphen is one word."""
     out: list[str] = []
@@ -111,7 +130,7 @@ def tokens(lines: list[str]) -> list[str]:
     for line in lines:
         ws = line.split()
         for k, w in enumerate(ws):
-            f = fold(w)
+            f = folded(w)
             if not f or f == "?":
                 if k:
                     joined = False

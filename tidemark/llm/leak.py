@@ -178,13 +178,10 @@ def speech(text: str, words: Words) -> tuple[list[str], list[int]]:
                 if not new:
                     continue
         nid = [words.of_kept(w.rstrip("-")) for w in new]
+        v, k = new[0], nid[0]
         for m in range(min(len(new), len(ws) - start), 0, -1):
-            a = len(ws) - m
-            for x in range(m):
-                v, w, k = new[x], ws[a + x], nid[x]
-                if v != w and not (k and k == ids[a + x]) and not ((v[0] == w[0] or v[-1] == w[-1] or len(v) >= 5 <= len(w) or abs(len(v) - len(w)) > 2) and words.alike(v, w)):
-                    break
-            else:
+            w = ws[-m]
+            if (v == w or (k and k == ids[-m]) or _near(v, w, words)) and all(new[x] == ws[x - m] or (nid[x] and nid[x] == ids[x - m]) or _near(new[x], ws[x - m], words) for x in range(1, m)):
                 break
         else:
             m = 0
@@ -196,13 +193,26 @@ def speech(text: str, words: Words) -> tuple[list[str], list[int]]:
     return ws, ids
 
 
-def worth(ids: list[int], least: int) -> bool:
-    """May there be a run of `least` words, all but UNREAD of which are readable? Words broken in two or run together aren't."""
-    known = np.fromiter((k > 0 for k in ids), np.int32, len(ids))
-    if len(known) <= least + UNREAD:
-        return known.sum() >= least - 2 * UNREAD
+def _near(v: str, w: str, words: Words) -> bool:
+    return (v[0] == w[0] or v[-1] == w[-1] or len(v) >= 5 <= len(w) or abs(len(v) - len(w)) > 2) and words.alike(v, w)
+
+
+def stretches(ids: list[int], least: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the stretches that may hold a run of `least` words, all but UNREAD of which are readable.
+
+    Words broken in two or run together aren't readable yet; at worst each unreadable place hides two words, or is two places.
+    """
+    n = least + UNREAD
+    known = np.fromiter(ids, np.int64, len(ids)) > 0
+    if len(known) <= n:
+        if known.sum() >= least - 2 * UNREAD:
+            yield 0, len(known)
+        return
     c = np.concatenate([[0], np.cumsum(known)])
-    return bool((c[least + UNREAD :] - c[: -least - UNREAD]).max() >= least - 2 * UNREAD)
+    at = np.flatnonzero(c[n:] - c[:-n] >= least - 2 * UNREAD)
+    if len(at):
+        gaps = np.flatnonzero(np.diff(at) > n)
+        yield from zip(at[np.append(0, gaps + 1)].tolist(), (at[np.append(gaps, len(at) - 1)] + n).tolist())
 
 
 def rejoined(ws: list[str], ids: list[int], words: Words) -> tuple[list[str], list[int]]:
@@ -288,6 +298,12 @@ class Search(Words):
             p = self.bits(sums - self.vectors[a[k : k + len(sums)]])
             yield from zip(range(len(p)), [k] * len(p), p.tolist())
 
+    def may_match(self, mine: np.ndarray, item: np.ndarray, least: int) -> np.ndarray:
+        """Rows of aligned codes in which `least` words in a row are equal or may be damaged: a cheap test before the exact one."""
+        may = (np.abs(mine) == item) | ((mine <= 0) & (item > 0))
+        c = np.cumsum(np.pad(may, ((0, 0), (1, 0))), axis=1)
+        return (c[:, least:] - c[:, :-least] == least).any(axis=1)
+
     def similarity(self, mine: list[str], item: list[str], shift: int, least: int, shingle: int = 5) -> float:
         """Best weighted share of an item's word shingles, over stretches of `least` words, that the text has in the same places.
 
@@ -308,6 +324,10 @@ class Search(Words):
         return float((np.convolve(found, whole, "valid") / np.convolve(weight, whole, "valid")).max())
 
 
+#: Stands for no word in rows of codes.
+NOTHING = 2**30
+
+
 def item_words(passage: str) -> list[str]:
     return [f for f in (fold(w) for w in passage.split()) if f and f != "?"]
 
@@ -375,6 +395,7 @@ def _search(spark: SparkSession, src: DataFrame, texts: DataFrame, least: int, s
     counts = texts.select("item", F.explode(F.array_distinct("ws")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     known = spark.sparkContext.broadcast({"words": sorted((r.w, 1.0 + math.log((1 + total) / (1 + r.n))) for r in counts.collect())})
     around = least - WINDOW
+    span = WINDOW + 2 * around
 
     def search() -> Search:
         """Built once in a worker, which keeps the broadcast value."""
@@ -389,29 +410,54 @@ def _search(spark: SparkSession, src: DataFrame, texts: DataFrame, least: int, s
             rows = [(i, *x) for i, ws in zip(b["item"], b["ws"]) for x in s.item_windows([s.exact[w] for w in ws])]
             yield pd.DataFrame(rows, columns=["item", "place", "missing", "fp"])
 
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = search()
+        for b in batches:
+            yield pd.DataFrame({"item": b["item"], "ws": [np.array([s.exact[w] for w in ws], np.int32).tobytes() for ws in b["ws"]]})
+
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = search()
+        pad = np.full(around, NOTHING, np.int32)
         for b in batches:
             rows = []
             for d, t in zip(b["d"], b["t"]):
-                ws, ids = speech(t, s)
-                if not worth(ids, least):
-                    continue
-                ws, ids = rejoined(ws, ids, s)
-                for at, missing, fp in s.windows(ids):
-                    a = max(0, at - around)
-                    rows.append((d, at - a, missing, fp, " ".join(ws[a : at + WINDOW + around])))
-            yield pd.DataFrame(rows, columns=["d", "at", "missing", "fp", "near"])
+                words, ids = speech(t, s)
+                for begin, end in stretches(ids, least):
+                    ws, ks = rejoined(words[begin:end], ids[begin:end], s)
+                    # Codes: a word as it stands, minus a word that it is near, 0 an unreadable one.
+                    code = np.concatenate([pad, np.array([k if k == 0 or w in s.exact else -k for w, k in zip(ws, ks)], np.int32), pad])
+                    for at, missing, fp in s.windows(ks):
+                        rows.append((d, missing, fp, code[at : at + span].tobytes(), " ".join(ws[max(0, at - around) : at + WINDOW + around])))
+            yield pd.DataFrame(rows, columns=["d", "missing", "fp", "code", "near"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = search()
         for b in batches:
-            ok = [s.similarity(near.split(" "), list(ws), place - at, least) >= similarity - 1e-9 for near, at, ws, place in zip(b["near"], b["at"], b["ws"], b["place"])]
-            yield b.loc[ok, ["item", "d"]]
+            mine = np.frombuffer(b"".join(b["code"]), np.int32).reshape(len(b), span)
+            # Codes of the batch's items in one row, each between words that are none.
+            k, items = pd.factorize(b["item"])
+            codes = [np.frombuffer(x, np.int32) for x in b["ws"].to_numpy()[np.unique(k, return_index=True)[1]]] if len(b) else []
+            line = np.concatenate([np.full(span, NOTHING, np.int32), *[y for c in codes for y in (c, np.full(span, NOTHING, np.int32))]])
+            begin = np.cumsum([span, *[len(c) + span for c in codes]])[k]
+            place = b["place"].to_numpy()
+            if similarity < 1:
+                some = np.arange(len(b))
+            else:
+                theirs = line[(begin + place - around)[:, None] + np.arange(span)]
+                some = np.flatnonzero(s.may_match(mine, np.where(theirs == NOTHING, -1, theirs), least))
+            known, ok = set(), []
+            for x, near, item, d in zip(some.tolist(), b["near"].to_numpy()[some], b["item"].to_numpy()[some], b["d"].to_numpy()[some]):
+                if (item, d) not in known:
+                    at = int((mine[x, :around] != NOTHING).sum())  # the window's place in the words around it
+                    if s.similarity(near.split(" "), [s.names[c - 1] for c in codes[k[x]]], int(place[x]) - at, least) >= similarity - 1e-9:
+                        known.add((item, d))
+                        ok.append(x)
+            yield b.iloc[ok][["item", "d"]]
 
     d = src.schema["d"].dataType.simpleString()
     ix = checkpoint(blocks(texts.mapInPandas(index, "item bigint, place int, missing int, fp bigint")).select("key", "block", F.col("fp").alias("ifp"), "item", "place"))
-    w = blocks(src.mapInPandas(windows, f"d {d}, at int, missing int, fp bigint, near string"))
+    w = blocks(src.mapInPandas(windows, f"d {d}, missing int, fp bigint, code binary, near string"))
     w = w.join(small(ix.withColumnRenamed("block", "iblock"), INDEX_ROWS), "key")
-    pairs = w.where(within_radius(F.col("fp"), F.col("ifp"), F.col("block"))).select("d", "near", "at", "item", "place")
-    return pairs.join(small(texts), "item").select("item", "d", "near", "at", "place", "ws").mapInPandas(verify, f"item bigint, d {d}").distinct()
+    pairs = w.where(within_radius(F.col("fp"), F.col("ifp"), F.col("block"))).select("d", "near", "code", "item", "place")
+    codes = checkpoint(texts.mapInPandas(coded, "item bigint, ws binary"))
+    return pairs.join(small(codes), "item").select("item", "d", "near", "code", "place", "ws").mapInPandas(verify, f"item bigint, d {d}").distinct()

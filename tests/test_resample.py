@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tidemark import custom_agg, make_windows, resample_eav, resample_interval
 
+# The documented example of resampling.
 OBS = [(1000, 0, "attr_1", None), (1000, 10, "attr_1", 85.7), (1000, 20, "attr_1", 151.4), (1000, 30, "attr_1", 137.8), (1000, 5, "attr_2", None), (1000, 9, "attr_2", 49.0), (1000, 25, "attr_2", 50.0), (1000, 34, "attr_2", 50.0), (1000, 7, "attr_3", 0.1), (1000, 17, "attr_3", 0.2), (1001, 1, "attr_2", 38.7), (1001, -1, "attr_2", 36.1), (1001, None, "attr_2", 1.0)]
 WIN = [(0, 1000, -1, 0), (1, 1000, 0, 8), (2, 1000, 1, 41), (3, 1000, 7, 17), (4, 1001, 0, 2), (5, 1001, 3, 1), (6, 77, 0, 99), (7, None, 0, 9)]
 COLS = dict(entity_col="entity", time_col="t", attribute_col="a", value_col="v")
@@ -147,3 +148,30 @@ def test_interval_refuses_too_many_attributes(spark):
     w = spark.range(1).selectExpr("0D as a", "1D as b")
     with pytest.raises(ValueError, match="more than 10000 attributes"):
         resample_interval(d, w, start_col="a", stop_col="b", attribute_col="k", value_col="v")
+
+
+@pytest.mark.parametrize("ends", [("start", "stop"), ("start", None), (None, "stop")])
+@pytest.mark.parametrize("entity", ["g", None])
+def test_windows_of_any_length(frame, ends, entity):
+    """Open, infinite, tiny and huge windows against brute force; nothing is joined by a nested loop."""
+    rnd = random.Random(8)
+    inf = float("inf")
+    obs = [(i, rnd.choice([1, 1, 1, 2, None]), rnd.choice([float(rnd.randint(0, 99))] * 9 + [None, inf]), "a", float(i)) for i in range(150)]
+    win = [(k, rnd.choice([1, 1, 2, None]), *rnd.choice([(float(s), float(s + n))] * 6 + [(-inf, float(s)), (float(s), inf), (None, float(s)), (float(s + 9), float(s))])) for k, s, n in ((k, rnd.randint(0, 90), rnd.choice([0, 1, 5, 10**6])) for k in range(80))]
+    w = frame("wid long, g int, start double, stop double", win).select("wid", "g", *[c for c in ends if c])
+    got = resample_eav(frame("id long, g int, t double, a string, v double", obs), w, {"a": ["size", "sum", "r1", "t-2", "nunique"]}, entity_col=entity, time_col="t", attribute_col="a", value_col="v", window_id="wid", row_id="id")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    for r in got.collect():
+        _, g, s, e = win[r.wid]
+        s, e = (-inf if ends[0] is None else s), (None if ends[1] is None else e)
+        mine = sorted((t, i, v) for i, h, t, _, v in obs if t is not None and (entity is None or (g is not None and g == h)) and s is not None and t >= s and (ends[1] is None or (e is not None and t < e)))
+        assert (r.a__size, r.a__sum, r.a__nunique) == (len(mine), sum(m[2] for m in mine) if mine else None, len(mine)), win[r.wid]
+        assert (r.a__r1, r["a__t-2"]) == (mine[1][2] if len(mine) > 1 else None, mine[-2][0] if len(mine) > 1 else None)
+
+
+def test_whole_sums_without_entity(frame):
+    iv = frame("e double, v double, a string", [(1.0, 2.0, "x"), (5.0, 3.0, "y"), (None, 9.0, "x"), (2.0, None, "x")])
+    got = resample_interval(iv, frame("w int, stop double", [(0, 1.0), (1, None), (2, 7.0)]), ["x", "y", "z"], stop_col="e", attribute_col="a", value_col="v", window_stop="stop")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got, "w", "x", "y", "z") == [(0, 2.0, 3.0, 0.0), (1, 0.0, 0.0, 0.0), (2, 2.0, 3.0, 0.0)] and "NestedLoop" not in plan and "Cartesian" not in plan

@@ -104,8 +104,8 @@ def _through_nodes(l: _Side, r: _Side, tree: Tree, cond: Column, cols: list[Colu
     The row that starts later (the right one of equal starts) is a point at its start, the other a range; any lengths, infinite ends included, will do.
     """
     ld, rd = (_full(s).withColumns({"__a": _axis(s, s.start, -float("inf")), "__b": _axis(s, s.stop, float("inf"))}) for s in (l, r))
-    point = lambda d: d.withColumn("__node", F.explode(tree.above(tree.leaf(F.col("__a")))))
-    span = lambda d: d.withColumn("__node", F.explode(tree.covering(tree.leaf(F.col("__a")), tree.leaf(F.col("__b")))))
+    point = lambda d: d.withColumn("__p", tree.leaf(F.col("__a"))).withColumn("__node", F.explode(tree.above(F.col("__p"))))
+    span = lambda d: d.withColumns({"__p": tree.leaf(F.col("__a")), "__q": tree.leaf(F.col("__b"))}).withColumn("__node", F.explode(tree.covering(F.col("__p"), F.col("__q"))))
     meet = F.col("l.__node") == F.col("r.__node")
     one = span(ld).alias("l").join(point(rd).alias("r"), meet & cond & (F.col("r.__a") >= F.col("l.__a"))).select(*cols)
     two = point(ld).alias("l").join(span(rd).alias("r"), meet & cond & (F.col("l.__a") > F.col("r.__a"))).select(*cols)

@@ -33,15 +33,12 @@ class Tree:
         self.levels = self.size.bit_length()
 
     def leaf(self, c: Column) -> Column:
-        """Number of cuts at or below a value: a search tree of comparisons, generated once for the plan."""
-
-        def search(lo: int, hi: int) -> Column:
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(c < F.lit(self.cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-        return search(0, len(self.cuts)).cast("bigint")
+        """Number of cuts at or below a value, by binary search."""
+        if self.size == 1:
+            return F.lit(0).cast("bigint")
+        cuts = F.array(*[F.lit(x) for x in [*self.cuts, *[float("inf")] * (self.size - len(self.cuts))]])
+        steps = F.array(*[F.lit(self.size >> k) for k in range(1, self.levels)])
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.element_at(cuts, at + step) <= c, at + step).otherwise(at)).cast("bigint")
 
     def above(self, leaf: Column) -> Column:
         """Nodes from a leaf up to the root."""

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..common import as_list, clean, fresh, from_micros, is_time, micros, need_columns, numeric_axis, q, require, row_ids, type_of
+from ..common import as_list, clean, fresh, from_micros, is_time, materialise, micros, need_columns, numeric_axis, q, require, row_ids, type_of
 from .joins import merge_intervals
+from .nodes import Tree
 
 PLAIN = ("mean", "min", "max", "median", "std", "var", "sum", "prod", "skew", "mad", "sem", "size", "count", "nunique", "mode", "mode_count", "first", "last")
 #: Attributes that are taken from the table itself where none are named.
@@ -66,14 +67,49 @@ def _bounds(df: DataFrame, windows: DataFrame, time_types: list[T.DataType], sta
     return s, e
 
 
-def _bin_width(w: DataFrame, s: str | None, e: str | None) -> float | None:
-    """Mean length of finite windows, as the width of bins that spread a hot entity; None without both ends."""
-    if s is None or e is None:
-        return None
-    a, b = numeric_axis(w, s).cast("double"), numeric_axis(w, e).cast("double")
-    mean, longest = w.where((F.abs(a) < float("inf")) & (F.abs(b) < float("inf")) & (a <= b)).agg(F.avg(b - a), F.max(b - a)).first()
-    infinite = not w.where((F.abs(a) == float("inf")) | (F.abs(b) == float("inf"))).isEmpty()
-    return 2 * mean if mean and not infinite and longest / mean < 10_000 else None
+def _spread(w: DataFrame, s: str | None, e: str | None) -> tuple[float | None, bool]:
+    """(width of bins for windows with both ends: twice their mean length, or None; are there other windows?) in one pass."""
+    inf = float("inf")
+    a, b = (numeric_axis(w, c).cast("double") if c else F.lit(None).cast("double") for c in (s, e))
+    finite = (F.abs(a) < inf) & (F.abs(b) < inf)
+    within = finite & (a <= b)
+    row = w.agg(F.avg(F.when(within, b - a)), F.max(F.when(within, b - a)), F.count(F.when(~F.coalesce(finite, F.lit(False)), 1))).first()
+    if not row[0] or row[1] / row[0] >= 10_000:
+        return None, True
+    return 2 * row[0], row[2] > 0
+
+
+def _meet(ww: DataFrame, o: DataFrame, s: str | None, e: str | None, entity: bool, include_start: bool, include_stop: bool) -> DataFrame:
+    """(__w, __t, __v, __a, ...) pairs of windows (__w, __we, s, e) and their observations (__e, __t, ...).
+
+    Windows with both ends meet observations in bins of the axis, so that a hot entity is spread. Windows without a start or a
+    stop (null only where the column is missing), with infinite ends, or of very unequal lengths meet them by the nodes of a
+    tree over the axis. Either way the join is by equality, and its work is that of its pairs.
+    """
+    cond = F.col("__e") == F.col("__we") if entity else F.lit(True)
+    if s:
+        cond = cond & ((F.col("__t") >= F.col(s)) if include_start else (F.col("__t") > F.col(s)))
+        ww = ww.where(F.col(s).isNotNull())
+    if e:
+        cond = cond & ((F.col("__t") <= F.col(e)) if include_stop else (F.col("__t") < F.col(e)))
+        ww = ww.where(F.col(e).isNotNull())
+    cols = ["__w", *[c for c in o.columns if c != "__e"]]
+    inf = float("inf")
+    axis = lambda d, c, none: numeric_axis(d, c).cast("double") if c else F.lit(none)
+    a, b, t = axis(ww, s, -inf), axis(ww, e, inf), axis(o, "__t", None)
+    width, others = _spread(ww, s, e)
+    parts = []
+    if width:
+        place = lambda c: F.floor(c / F.lit(float(width))).cast("bigint")
+        finite = ww.where((F.abs(a) < inf) & (F.abs(b) < inf) & (a <= b)).withColumn("__wb", F.explode(F.sequence(place(a), place(b))))
+        parts.append(finite.join(o.where(F.abs(t) < inf).withColumn("__b", place(t)), (F.col("__b") == F.col("__wb")) & cond).select(*cols))
+    if others:
+        rest = ww.where(~((F.abs(a) < inf) & (F.abs(b) < inf))) if width else ww
+        tree = Tree([(o, t)])
+        rest = rest.where(a <= b).withColumns({"__la": tree.leaf(a), "__lb": tree.leaf(b)}).withColumn("__node", F.explode(tree.covering(F.col("__la"), F.col("__lb"))))
+        points = o.withColumn("__lt", tree.leaf(t)).withColumn("__at", F.explode(tree.above(F.col("__lt"))))
+        parts.append(rest.join(points, (F.col("__at") == F.col("__node")) & cond).select(*cols))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def _customised(fn: Callable, names: list[str], time_col: str, value_col: str) -> Callable:
@@ -128,21 +164,18 @@ def resample_eav(
         (q(attribute_col) if attribute_col else F.lit(attrs[0])).alias("__a"), *([q(row_id).alias("__id")] if row_id else []),
     ).where(F.col("__t").isNotNull() & F.col("__a").isin(*attrs))
     ww = w.select(q(wid).alias("__w"), *([clean(w, entity_col).alias("__we")] if entity_col else []), *([clean(w, s).alias("__s")] if s else []), *([clean(w, e).alias("__p")] if e else []))
-    cond = F.lit(True)
-    if entity_col:
-        cond = F.col("__e") == F.col("__we")
-    if s:
-        cond = cond & ((F.col("__t") >= F.col("__s")) if include_start else (F.col("__t") > F.col("__s")))
-    if e:
-        cond = cond & ((F.col("__t") <= F.col("__p")) if include_stop else (F.col("__t") < F.col("__p")))
-    width = _bin_width(ww, "__s" if s else None, "__p" if e else None)
-    if width:
-        place = lambda d, c: F.floor(numeric_axis(d, c).cast("double") / F.lit(float(width))).cast("bigint")
-        o = o.withColumn("__b", place(o, "__t"))
-        ww = ww.where("__s <= __p").withColumn("__wb", F.explode(F.sequence(place(ww, "__s"), place(ww, "__p"))))
-        cond = (F.col("__b") == F.col("__wb")) & cond
-    ties = [F.col("__id")] if row_id else [F.col("__v").asc_nulls_last()]
-    j = ww.join(o, cond).select("__w", "__t", "__v", "__a", *(["__id"] if row_id else []))
+
+    def branch(how, name) -> str:
+        """Which aggregate of the pairs a column belongs to."""
+        if isinstance(how, custom_agg):
+            return name
+        if isinstance(how, tuple) and how[0] in "rt" and how[1] not in (0, -1):
+            return "first ranks" if how[1] > 0 else "last ranks"
+        return how if how == "mad" else "values" if how in ("mode", "mode_count", "nunique") else "plain"
+
+    j = _meet(ww, o, "__s" if s else None, "__p" if e else None, bool(entity_col), include_start, include_stop)
+    if len({branch(how, name) for _, how, name in spec}) > 1:  # several aggregates read the pairs
+        j = materialise(j)
     res = w
     tie = [F.col("__id")] if row_id else [F.col("__v").isNull(), F.col("__v").alias("tv")]
 
@@ -214,19 +247,17 @@ def resample_eav(
     if mads:
         m = j.where(F.col("__a").isin(*{a for a, *_ in mads})).withColumn("__d", F.abs(x - F.avg(x).over(Window.partitionBy("__w", "__a"))))
         attach(m.groupBy("__w").agg(*[F.avg(F.when(F.col("__a") == a, F.col("__d"))).alias(name) for a, _, name in mads]))
-    if ranks:
-        rw = Window.partitionBy("__w", "__a")
-        r = j.where(F.col("__a").isin(*{a for a, *_ in ranks}))
-        up = any(h[1] >= 0 for _, h, _ in ranks)
-        down = any(h[1] < 0 for _, h, _ in ranks)
-        if up:
-            r = r.withColumn("__up", F.row_number().over(rw.orderBy(F.col("__t"), *ties)) - 1)
-        if down:
-            back = [F.col("__id").desc()] if row_id else [F.col("__v").desc_nulls_first()]
-            r = r.withColumn("__down", -F.row_number().over(rw.orderBy(F.col("__t").desc(), *back)))
+    for up in (True, False):
+        # Only the first (or last) rows of a window are kept, before they are sent: as many as the furthest rank asks for.
+        mine = [(a, h, name) for a, h, name in ranks if (h[1] >= 0) == up]
+        if not mine:
+            continue
+        order = [F.col("__t"), *([F.col("__id")] if row_id else [F.col("__v").asc_nulls_last()])] if up else [F.col("__t").desc(), *([F.col("__id").desc()] if row_id else [F.col("__v").desc_nulls_first()])]
+        far = max(h[1] + 1 if up else -h[1] for _, h, _ in mine)
+        r = j.where(F.col("__a").isin(*{a for a, *_ in mine})).withColumn("__rn", F.row_number().over(Window.partitionBy("__w", "__a").orderBy(*order))).where(F.col("__rn") <= far)
         outs = []
-        for a, (kind, k), name in ranks:
-            here = (F.col("__a") == a) & (F.col("__up" if k >= 0 else "__down") == k)
+        for a, (kind, k), name in mine:
+            here = (F.col("__a") == a) & (F.col("__rn") == (k + 1 if up else -k))
             outs.append(F.max(F.when(here, F.col("__v" if kind == "r" else "__t"))).alias(name))
         attach(r.groupBy("__w").agg(*outs))
     for a, how, name in customs:
@@ -290,9 +321,12 @@ def resample_interval(
     a, b, v = F.col("a"), F.col("b"), F.col("v")
     # Unbounded on the same side everywhere: every overlap is infinite, so the entity's plain sum serves all its windows.
     everywhere = (start_col is None and ws is None) or (stop_col is None and we is None)
+    totals = [F.sum(F.when(F.col("__a") == n, v)).alias(str(n)) for n in names]
     if everywhere and entity_col:
-        sums = i.groupBy("__e").agg(*[F.sum(F.when(F.col("__a") == n, v)).alias(str(n)) for n in names])
-        got = x.join(sums, F.col("__e") == F.col("__we")).select("__w", *[q(str(n)) for n in names])
+        got = x.join(i.groupBy("__e").agg(*totals), F.col("__e") == F.col("__we")).select("__w", *[q(str(n)) for n in names])
+    elif everywhere:
+        # One row for the whole table, read as a scalar.
+        got = x.select("__w", i.agg(*totals).select(F.struct(*[q(str(n)) for n in names])).scalar().alias("__x")).select("__w", "__x.*")
     else:
         if entity_col:
             x, i = x.where("__we is not null"), i.where("__e is not null")

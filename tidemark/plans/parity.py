@@ -65,11 +65,11 @@ for _h, _s in (("inner", ""), ("left", "left"), ("right", "right"), ("outer", "f
     _how(_h, _s)
 
 
-@query(f"with {_OI} select l.id id_x, r.id id_y from l join r on l.k = r.k and l.s < l.e and r.s < r.e and l.s <= r.e and r.s < l.e union all select l.id, r.id from l join r on false")
+@query(f"with {_OI} select l.id id_x, r.id id_y from l join r on l.k = r.k and l.s < l.e and r.s <= r.e and l.s <= r.e and r.s < l.e")
 def merge_open_closed(spark, d):
-    """[s, e) on the left, [s, e] on the right; a right interval of no length is a point, so its emptiness follows its own flags."""
+    """[s, e) on the left, [s, e] on the right: intervals of no length are empty on the left and points on the right."""
     a, b = _lr(spark, d)
-    return merge_intervals(a, b.where("s < e"), on="k", how="inner", **_ENDS, include_left_stop=False).select("id_x", "id_y")
+    return merge_intervals(a, b, on="k", how="inner", **_ENDS, include_left_stop=False).select("id_x", "id_y")
 
 
 @query(f"with {_OI} select l.id id_x, r.id id_y from l join r on l.k = r.k and l.s >= r.s and l.s <= r.e")
@@ -119,6 +119,25 @@ def merge_no_keys(spark, d):
     return merge_intervals(w, w, how="inner", **_ENDS, include_left_stop=False, include_right_stop=False).select("id_x", "id_y")
 
 
+def _windows(spark, d):
+    return table(spark, d, "windows").selectExpr("window_id as id", "subject_id as k", "start as s", "stop as e").distinct()
+
+
+@query(f"with w as ({_W}) select a.id id_x, count(*) n, min(b.id) lo, max(b.id) hi from w a join w b on b.s <= a.e group by 1")
+def merge_half_line_no_keys(spark, d):
+    """Windows that have begun when a window stops: a single inequality, no keys."""
+    w = _windows(spark, d)
+    return merge_intervals(w, w, how="inner", left_stop="e", right_start="s").groupBy("id_x").agg(F.count(F.lit(1)).alias("n"), F.min("id_y").alias("lo"), F.max("id_y").alias("hi"))
+
+
+@query(f"with w as ({_W}), n as (select * from w where id % 2 = 0) select a.id id_x, count(b.id) n, min(b.id) lo from n a full outer join w b on a.s < a.e and b.s is not null and b.s < a.e group by 1")
+def merge_outer_no_keys(spark, d):
+    """All rows of both sides: windows [s, e) with even ids and half-lines from windows' starts."""
+    w = _windows(spark, d)
+    r = merge_intervals(w.where("id % 2 = 0"), w, how="outer", left_start="s", left_stop="e", right_start="s", include_left_stop=False, **_IDS)
+    return r.groupBy("id_x").agg(F.count("id_y").alias("n"), F.min("id_y").alias("lo"))
+
+
 @query(f"with {_OI} select l.id id_x, r.id id_y from l join r on {_ON}")
 def merge_binned_keys(spark, d):
     return _merged(spark, d, how="inner", bin_width="auto").select("id_x", "id_y")
@@ -229,6 +248,19 @@ def eav_ranks(spark, d):
     return r.select("wid", F.col("click__r0").alias("r0"), F.col("`click__r-1`").alias("r_1"), us("t0").alias("t0"), us("t-1").alias("t_1"), F.col("click__r2").alias("r2"), us("t-3").alias("t_3"))
 
 
+@query(f"""with {_EV}, {_PW}, {_J} select wid, min_by(value, (ts, event_id)) filter ({_C} and value is not null) f, max_by(value, (ts, event_id)) filter ({_C} and value is not null) l from j group by wid""")
+def eav_first_last(spark, d):
+    """First and last known value."""
+    return _eav(spark, d, {"click": ["first", "last"]}).select("wid", F.col("click__first").alias("f"), F.col("click__last").alias("l"))
+
+
+@query(f"""with {_EV}, {_PW}, {_J} select wid, case when count(*) filter ({_C}) > 0 then coalesce(product(case when value is not null then (event_id % 5 - 2) / 2 end) filter ({_C}), 1) end p from j group by wid""")
+def eav_prod_signed(spark, d):
+    """Products with zeros and signs; 1 over missing values only."""
+    e = _events(spark, d, True).withColumn("value", F.when(F.col("value").isNotNull(), (F.col("event_id") % 5 - 2) / F.lit(2.0)))
+    return resample_eav(e, _purchases(spark, d), {"click": ["prod"]}, **_EAV).select("wid", (F.col("click__prod") + F.lit(0.0)).alias("p"))
+
+
 @query(f"with {_EV}, w as (select user_id, max(ts) stop from events group by 1) select w.user_id, count(ev.ts) filter ({_C}) sz, count(value) filter ({_C}) ct from w left join ev on w.user_id = ev.user_id and ev.ts < w.stop group by 1")
 def eav_open_window(spark, d):
     """Windows without a start."""
@@ -301,6 +333,14 @@ def interval_resample_unbounded(spark, d):
     return r.select("k", micros(F.col("stop")).alias("stop_us"), F.round("total", 3).alias("total"))
 
 
+@query(f"with {_OI}, w as (select distinct date_trunc('month', s)::timestamp + interval 30 day stop from oi) select epoch_us(stop) stop_us, round((select sum(v) from oi where p = '1-URGENT'), 2) urgent, round((select sum(v) from oi where p = '5-LOW'), 2) low from w")
+def interval_resample_no_entity(spark, d):
+    """Without entity and without starts: every window gets the whole table's sums."""
+    w = _months(spark, d).select("stop").distinct()
+    r = resample_interval(_orders(spark, d), w, ["1-URGENT", "5-LOW"], stop_col="e", attribute_col="p", value_col="v", window_stop="stop")
+    return r.select(micros(F.col("stop")).alias("stop_us"), F.round("`1-URGENT`", 2).alias("urgent"), F.round("`5-LOW`", 2).alias("low"))
+
+
 # ---- interval algebra
 
 _SWEEP = """ev as (select {g} g, s t, 1 d from x union all select {g}, e, -1 from x), b as (select g, t, sum(d) d from ev group by 1, 2), c as (select g, t, sum(d) over (partition by g order by t) n, lead(t) over (partition by g order by t) t2 from b),
@@ -487,6 +527,32 @@ def get_loc_key(spark, d):
     return get_loc(table(spark, d, "nation"), "n_regionkey", 2, order_by="n_nationkey")
 
 
+@query("select p as position from (select row_number() over (order by n_nationkey) - 1 p from nation) where p % 4 = 1")
+def get_loc_mask(spark, d):
+    return get_loc(table(spark, d, "nation"), "n_regionkey", [i % 4 == 1 for i in range(table(spark, d, "nation").count())], order_by="n_nationkey")
+
+
+@query("select p as position from (select *, row_number() over (order by n_nationkey) - 1 p from nation) where n_name between 'NATION_10' and 'NATION_2'")
+def get_loc_slice(spark, d):
+    return get_loc(table(spark, d, "nation"), "n_name", slice("NATION_10", "NATION_2"), order_by="n_nationkey")
+
+
+@query("select n_nationkey from (select *, row_number() over (order by n_name) - 1 p from nation) where p % 3 <> 0")
+def iloc_mask(spark, d):
+    return iloc_loc(table(spark, d, "nation"), [i % 3 != 0 for i in range(table(spark, d, "nation").count())], "n_nationkey", order_by="n_name")
+
+
+@query("""with recursive o as (select o_custkey, count(*)::double n from orders group by 1), r as (select *, row_number() over (order by o_custkey) i from o),
+  f(i, rests, bin) as (select 0::bigint, []::double[], -1::bigint union all
+    select r.i, case when k is null then list_append(rests, 200.0 - g.n) else list_concat(list_concat(rests[:k - 1], [rests[k] - g.n]), rests[k + 1:]) end, case when k is null then len(rests) else k - 1 end
+    from (select f.*, r.n, r.i ri, nullif(list_position(list_transform(f.rests, lambda x: x >= r.n), true), 0) k from f join r on r.i = f.i + 1) g join r on r.i = g.ri)
+  select o_custkey, r.n, bin from f join r using (i)""")
+def partition_bins_in_order(spark, d):
+    """Customers in order packed into bins of at most 200 orders: first fit."""
+    n = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return partition_series(n, "n", 200.0, shuffle=False, order_by="o_custkey")
+
+
 @query()
 def partition_bins(spark, d):
     """Customers packed into bins of at most 200 orders."""

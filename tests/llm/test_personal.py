@@ -1,6 +1,7 @@
 import pytest
 
 from tests.conftest import rows
+from tidemark.llm import personal
 from tidemark.llm.personal import candidates, find_personal, redact
 
 NAMES = [("Anna", "Velmoor"), ("Thomas", "Quistrand"), ("Zoë", "Pradovar"), ("Jean-Luc", "Ångerby"), ("Felix", "O'Tarrell"), ("Marek", "Quistrand"), ("Zoë", "Velmoor"), ("Anna", "Ångerby")]
@@ -89,3 +90,35 @@ def test_addresses_in_capitals(address):
             t = before + "\n\n" + line.format(address)
             assert [t[c[1] : c[2]] for c in candidates(t) if c[0] == "address"] == [address]
     assert not [c for c in candidates("OK, 15\npeople in the way. THE 12 Men close in") if c[0] == "address"]
+
+
+def test_unlisted_street_words(frame):
+    """Street words in no list are learnt from the contexts of listed ones, before and after the house number."""
+    listed = ["186 Willowmere Avenue", "12 Mill Pond Road", "55 rue des Tilleuls", "Calle Mayor 70", "Lindenallee 70a", "Am Alten Wehr 162b"]
+    other = ["7 Saint Orlan Mews, Apt 3, Easthollow 00328", "19 Copperfold Hollow", "33 venelle du Moulin, 00562 Valbois", "Rambla Vieja nº 14", "Birkenpfad 12", "Süldener Twiete 9, 00934 Talbrück"]
+    contexts = ["Anna lives at {}.", "Please mail it to {}.", "Unsere Adresse: {}.", "Elle habite {}."]
+    docs, want = [], set()
+    for k, (a, c) in enumerate((a, c) for _ in range(3) for a in [*listed, *other] for c in contexts):
+        t = "We met again. " + c.format(a) + " That was all."
+        docs.append((k, t))
+        want.add((k, "address", t.index(a), t.index(a) + len(a)))
+    decoys = ["We watched Episode Seven 12 times.", "Chapter 3 begins.", "He counted 12 Big Sheep again.", "Platz Nummer Zehn 4 ist frei.", "About 30 seconds left.", "Room 12 was locked."]
+    docs += [(1000 + k, d) for k, d in enumerate(decoys * 5)]
+    got = {tuple(r) for r in find_personal(frame("doc_id long, text string", docs)).where("kind = 'address'").collect()}
+    assert got == want
+
+
+def test_long_words_and_places(frame, monkeypatch):
+    """No word is too long for a name or a street, and places that are too many to broadcast give the same."""
+    long = "Vel" + "mo" * 20 + "or"
+    docs, _ = corpus()
+    line = f"My name is Anna {long}."
+    street = "12 " + "Wi" + "llow" * 20 + "mere Avenue"
+    df = frame("doc_id long, text string", [*docs, (5000, line), (5001, f"He lives at {street}."), (5002, f"My name is Anna {long}.")])
+    got = find_personal(df).cache()
+    assert {(r.kind, r.start_char, r.end_char) for r in got.where("doc_id >= 5000").collect()} == {("name", 11, len(line) - 1), ("address", 12, 12 + len(street))}
+    once = rows(redact(df, got))
+    monkeypatch.setattr(personal, "PLACES", 1)
+    assert rows(redact(df, got)) == once
+    with pytest.raises(ValueError):
+        find_personal(df, sure=0.01)

@@ -188,3 +188,27 @@ def test_shifts(frame):
     w = Window.orderBy("i")
     assert [tuple(r) for r in df.select(shift_equal(F.col("v"), -1, w), ordered.shift_unequal(F.col("v"), -1, w)).collect()] == [(False, True), (True, False), (False, True), (False, True)]
     assert [r.r for r in roll1d(df, "v", 1, "i", "r").orderBy("i").collect()] == [None, 5, 5, None]
+
+
+def test_shared_folder(spark, tmp_path):
+    """Tables go to the session's folder and are deleted by release(); a cluster without such a folder is refused."""
+    import os
+
+    t = common.materialise(spark.range(3))
+    path = common._TABLES[-1][1]
+    assert t.count() == 3 and path.startswith(common.shared_dir(spark))
+    common.release()
+    assert not os.path.exists(path.removeprefix("file:")) and common._TABLES == []
+
+    class Nowhere:
+        """A session on several machines that names no folder."""
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+            _jsc = type("j", (), {"sc": lambda self: type("s", (), {"getCheckpointDir": lambda self: type("o", (), {"isEmpty": lambda self: True})()})()})()
+            getConf = staticmethod(dict)
+
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Nowhere)

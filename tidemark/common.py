@@ -94,36 +94,46 @@ def fresh(df: DataFrame, *names: str, avoid: Sequence[str] = ()) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary folder only where none is set, as in tests."""
+    """The folder that the session names in spark.checkpoint.dir. Only a session on one machine may leave it unset, as in tests: it gets a temporary folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        alone = sc.master == "local" or sc.master.startswith("local[")
+        require(bool(where) or alone, "spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="tidemark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
+    """Reliable checkpoint in the shared folder (Spark deletes it with its result if spark.cleaner.referenceTracking.cleanCheckpoints is set)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """The table written as Parquet to the shared folder and read again: for larger tables that several branches read, each
-    perhaps only some of the columns. The files are deleted when the Python process ends."""
+    perhaps only some of the columns. The files are deleted by release(), at the latest when the Python process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    if not _TABLES:
+        atexit.register(release)
+    _TABLES.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session is over
-        pass
+def release() -> None:
+    """Delete the tables that materialise() wrote; results that still read them are to be written before."""
+    while _TABLES:
+        spark, path = _TABLES.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is over
+            pass
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

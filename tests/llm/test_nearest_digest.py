@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tests.conftest import rows
+from tidemark.llm import digest
 from tidemark.llm.digest import digests, estimate, merge_digests, percentiles
 from tidemark.llm.nearest import nearest_in_time
 
@@ -52,3 +53,33 @@ def test_digests_of_loads_combine(frame):
     assert est[0] == v.min() and est[1] == v.max()
     for q in (0.1, 0.5, 0.9):
         assert abs((v < est[q]).mean() - q) < 0.01
+
+
+@pytest.mark.parametrize("shape", ["sorted", "reversed", "interleaved", "ties", "heavy"])
+def test_stated_error_holds_over_all_merges(frame, shape):
+    """Many loads, in orders that part a group's values unevenly between tasks: within the stated error after three clusterings."""
+    rng = np.random.default_rng(3)
+    v = {"sorted": np.arange(20_000.0), "reversed": np.arange(20_000.0)[::-1], "interleaved": np.arange(20_000.0) * 7919 % 20_011, "ties": rng.integers(0, 40, 20_000) * 1.0, "heavy": rng.standard_cauchy(20_000)}[shape]
+    df = frame("g string, x double", [("k", float(x)) for x in v]).repartition(31, "x" if shape == "interleaved" else "g") if shape != "sorted" else frame("g string, x double", [("k", float(x)) for x in v]).repartitionByRange(31, "x")
+    for size in (20, 100):
+        got = percentiles(df, "g", "x", [k / 50 for k in range(51)], size=size).collect()
+        assert len(got) == 51 and max(r.rank_error for r in got) <= np.pi / size + 1 / len(v)
+
+
+def test_infinities_and_many_groups(frame, monkeypatch):
+    inf = float("inf")
+    data = [("a", x) for x in [-inf] * 30 + [1.0] * 40 + [2.0] * 20 + [inf] * 10] + [("b", -inf), ("b", inf), ("c", inf)]
+    df = frame("g string, x double", data)
+    q = [0.1, 0.25, 0.5, 0.8, 0.95]
+    want = rows(percentiles(df, "g", "x", q), "grp", "n", "q", "value", "rank_error")
+    assert [(r[2], r[3]) for r in want if r[0] == "a"] == [(0.1, -inf), (0.25, -inf), (0.5, 1.0), (0.8, 2.0), (0.95, inf)]
+    monkeypatch.setattr(digest, "GROUPS", 1)
+    salted = percentiles(df, "g", "x", q)
+    assert rows(salted, "grp", "n", "q", "value", "rank_error") == want
+
+
+def test_values_meet_estimates_without_being_sent(frame):
+    df = frame("g string, x double", [("k", float(i)) for i in range(50)])
+    est = estimate(digests(df, "g", "x"), [0.5])
+    plan = digest.certify(df, "g", "x", est, [0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -6,11 +6,11 @@ from tidemark.llm.personal import candidates, find_personal, redact
 
 NAMES = [("Anna", "Velmoor"), ("Thomas", "Quistrand"), ("Zoë", "Pradovar"), ("Jean-Luc", "Ångerby"), ("Felix", "O'Tarrell"), ("Marek", "Quistrand"), ("Zoë", "Velmoor"), ("Anna", "Ångerby")]
 LINES = ["My name is {g} {f}.", "Is {g} {f} at home?", "I knew {g} {f} back then.", "Subtitles by {g} {f}", "Mr. {f}, {g}, a word please."]
-NUMBERS = {"phone": ["+1 212 555 0107", "(212) 555-0174", "555-0199", "+44 (0)7700\n900 365", "030/23125441"], "identity": ["940-36-7847", "80175548F", "QQ 12 34 56 C", "X37266785"]}
+NUMBERS = {"phone": ["+1 212 555 0107", "(212) 555-0174", "555-0199", "+44 (0)7700\n900 365", "030/23125441", "five-five-five-zero-one-nine-eight", "five five five,\nzero one 0ne nine", "FÜNF FÜNF NULL NULL EINS DREI ACHT ZWEI"], "identity": ["940-36-7847", "80175548F", "QQ 12 34 56 C", "X37266785"]}
 FRAMES = {"phone": ["Call me at {}, okay?", "Tel. {}", "Dial {} now and win!"], "identity": ["Write this down: {k} {}.", "- {k} {}, sir.", "(reads) {k} {}"]}
 KEYWORD = {"940-36-7847": "SSN", "80175548F": "DNI", "QQ 12 34 56 C": "NI number", "X37266785": "passport no."}
 DECOYS = ["Order no. 0049-2210-88", "Batch 4711-0057-A failed.", "Version 2.10.4555", "Score: 98-76-75", "It cost 1,250,067 crowns.", "Grand Larkmoor Hotel", "Old Mill Road was empty.", "See you @ the pier at 7", "Follow @nightowl for updates", "Dr. Velmoor, please!", "The Captain lost it."]
-EMAILS = ["crew.8@example.org", "info @ post.example", "a_b (at) mail\n(dot) example", "x-y[at]kino[dot]example", "me AT kino DOT example", "ANNA@POST.EXAMPLE"]
+EMAILS = ["crew.8@example.org", "lena_k＠post.example", "info @ post.example", "a_b (at) mail\n(dot) example", "x-y[at]kino[dot]example", "me AT kino DOT example", "ANNA@POST.EXAMPLE"]
 ADDRESSES = ["186 Willowmere Avenue, Apt 18", "22 Saint Orlan St.,\nEasthollow 00328", "Süldener Str. 55a, 00934 Ombrelshausen", "Am Alten Wehr 162b", "Ahornweg\n82", "102 bis bd de la Source, 00562 Saint-Ombrel", "Plaza Ombrel nº 103, 3º B, 00782 Peñalquilla", "C/ Peñalara Vieja 76"]
 
 

@@ -30,8 +30,8 @@ TIMES = re.compile(r"(?:^[ \t﻿]*[#(]?\d+[.)]?[ \t]*(?:\r\n|\r|\n))?^[^\r\n]*--
 S = r"(?:[ \t]+(?:\r?\n|\r)?|\r?\n|\r)"  # a space or one line break
 S0 = rf"{S}?"
 EMAIL = re.compile(
-    rf"(?<![\w.+\-])[A-Za-z0-9][\w.+\-]*(?:{S0}@{S0}|{S0}[\[(][aA][tT][\])]{S0}|{S}(?:AT|at){S}(?=[\w\-]+{S}(?:DOT|dot){S}))"
-    rf"[A-Za-z0-9][\w\-]*(?:(?:\.|{S0}[\[(][dD][oO][tT][\])]{S0}|{S}(?:DOT|dot){S})[A-Za-z0-9][\w\-]*)*(?:\.|{S0}[\[(][dD][oO][tT][\])]{S0}|{S}(?:DOT|dot){S})[A-Za-z]{{2,}}(?![\w@])"
+    rf"(?<![\w.+\-])[A-Za-z0-9][\w.+\-]*(?:{S0}[@＠﹫]{S0}|{S0}[\[(][aA][tT][\])]{S0}|{S}(?:AT|at){S}(?=[\w\-]+{S}(?:DOT|dot){S}))"
+    rf"[A-Za-z0-9][\w\-]*(?:(?:\.|{S0}[\[(][dD][oO][tT][\])]{S0}|{S}(?:DOT|dot){S})[A-Za-z0-9][\w\-]*)*(?:\.|{S0}[\[(][dD][oO][tT][\])]{S0}|{S}(?:DOT|dot){S})[A-Za-z]{{2,}}(?![\w@＠﹫])"
 )
 NUMBER = re.compile(r"(?<![\w.,:+/\-])(?:[A-Z]{1,2}(?=\d))?[+(]?\d(?:[\d()]|[ \-./]{1,2}(?=[\d(])|[ ]?(?:\r?\n|\r)(?=[\d(]))*\d(?:(?:[ \-]|\r?\n|\r)?[A-Z](?![\w]))?(?![\w])")
 PAIRS = re.compile(rf"(?<![\w.\-])[A-Z]{{2}}{S0}\d\d{S0}\d\d{S0}\d\d{S0}[A-Z](?!\w)")
@@ -75,6 +75,19 @@ WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 OUT = "doc {}, kind string, start_char int, end_char int, a string, b string, p string, r string, w string, v string"
 
 
+# Words for digits in English, German, French, Spanish, Italian, Portuguese and Dutch, and words that repeat one.
+DIGIT_WORDS = (
+    "zero oh one two three four five six seven eight nine null eins zwei zwo drei vier fünf sechs sieben acht neun zéro un deux trois quatre cinq sept huit neuf "
+    "cero uno dos tres cuatro cinco seis siete ocho nueve due tre quattro cinque sei sette otto nove um dois três quatro sete oito nul een twee drie vijf zes zeven negen double triple"
+).split()
+_DIGIT = "|".join(DIGIT_WORDS)
+BETWEEN = rf"(?:{S}|[\-–][ ]?|,{S0}|\.{S})"
+SPOKEN = re.compile(rf"(?i)(?<!\w)(?:{_DIGIT})(?:{BETWEEN}(?:{_DIGIT})(?!\w)){{2,}}")
+SPOKEN_AHEAD, SPOKEN_AFTER = re.compile(rf"(?<!\w)([^\W_]+){BETWEEN}$"), re.compile(rf"{BETWEEN}([^\W_]+)")
+#: Digits that a spelled-out phone number has.
+FEWEST_SPOKEN = 7
+
+
 def hidden_times(text: str) -> str:
     """The text with cue numbers and times blotted out, every character in its place."""
     return TIMES.sub(lambda m: "\x00" * (m.end() - m.start()), text) if "-->" in text else text
@@ -115,6 +128,24 @@ def _key(word: str) -> str:
     return k
 
 
+def spoken(t: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, digits) of runs of words for digits, some of them perhaps damaged, after three that aren't."""
+    known, done = None, 0
+    for m in SPOKEN.finditer(t):
+        known = known or {_key(w) for w in DIGIT_WORDS}
+        a, b = m.span()
+        if a < done:
+            continue
+        while (x := SPOKEN_AHEAD.search(t, max(done, a - 40), a)) and _key(x.group(1)) in known:
+            a = x.start()
+        while (x := SPOKEN_AFTER.match(t, b)) and _key(x.group(1)) in known:
+            b = x.end()
+        done = b
+        n = sum(_key(w) in known for w in re.findall(r"[^\W_]+", t[a:b]))
+        if FEWEST_SPOKEN <= n <= MOST_DIGITS:
+            yield a, b, n
+
+
 def streets(t: str, house: re.Match, tokens: list[tuple[int, int]], begins: list[int]) -> Iterator[tuple[int, int, str]]:
     """(start, end, instance) of what may be a street address around a house number, whatever its street word.
 
@@ -162,8 +193,8 @@ def streets(t: str, house: re.Match, tokens: list[tuple[int, int]], begins: list
             return
         if upper and n < 2 and len(last) > 4:
             yield a, end, f"J:{_key(last)[-4:]}"
-        if upper and n:
-            yield a, end, f"C:{_key(bare)}"
+        if upper and n and len(key := _key(bare)) > 1:
+            yield a, end, f"C:{key}"
         k, n = k - 1, n + 1
 
 
@@ -176,7 +207,7 @@ def candidates(text: str) -> Iterator[tuple]:
     """
     t = hidden_times(text)
     taken: list[tuple[int, int]] = []
-    if "@" in t or "at)" in t or "at]" in t or "AT)" in t or "AT]" in t or (("DOT" in t or "dot" in t) and AT.search(t)):
+    if "@" in t or "＠" in t or "﹫" in t or "at)" in t or "at]" in t or "AT)" in t or "AT]" in t or (("DOT" in t or "dot" in t) and AT.search(t)):
         for m in EMAIL.finditer(t):
             taken.append(m.span())
             yield ("email", *m.span(), "", "", "", "", "", "")
@@ -220,6 +251,9 @@ def candidates(text: str) -> Iterator[tuple]:
             spans.append((a, b))
             shape = re.sub(r"\s+", " ", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", s)))
             yield ("number", a, b, shape, "", *_around(t, a, b))
+    for a, b, n in spoken(t):
+        if not any(x < b and y > a for x, y in taken):
+            yield ("number", a, b, f"{n} words", "", *_around(t, a, b))
     for m in NAMES.finditer(t):
         one, mark, initial, two, three = m.groups()
         start = m.start(1)

@@ -43,6 +43,9 @@ def corpus():
             add(d)
     placed("Ask {} now", "Zoë B. Quistrand", "name")
     placed("Ask {} now", "J. Velmoor", "name")
+    placed("Is {} at home?", "J. Velmoor", "name")
+    placed("Is {} at home?", "Marek J. Velmoor", "name")
+    placed("My name is {}.", "Felix O&#39;Tarrell", "name")
     for e in EMAILS:
         placed("Contact: {} today", e, "email")
     for a in ADDRESSES:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -68,7 +69,8 @@ TAIL = re.compile(rf"(?:,{S}(?i:{UNITS}){S}[0-9]{{1,4}}[A-Z]?(?!\w))?(?:,{S}\d{{
 PARTICLES = frozenset("de la las los el du des del d' l' der den dem".split())
 TOKEN = re.compile(r"[^\s\x00]+")
 NAME_END = r"[^\s,.:;!?()\[\]\"“”<>♪\x00\d]*"
-NAME_WORD = rf"{CAP}{NAME_END}(?:(?<=[ÃÂ])[“”]{NAME_END})*"
+# Misread letters may look like quotes, and apostrophes may stand as entities.
+NAME_WORD = rf"{CAP}{NAME_END}(?:(?:(?<=[ÃÂÅ])[“”]|(?<=&#)\d{{2,4}};|(?<=&apos);|(?<=&rsquo);){NAME_END})*"
 # Two words in capitals, the first perhaps before a comma or an initial itself, an initial perhaps between them.
 NAMES = re.compile(rf"(?<![^\s\-–(\[\"“'¿¡>♪])(?=({NAME_WORD})([.,]?){S}(?:({CAP})\.(?:{S}({NAME_WORD}))?|({NAME_WORD})))")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
@@ -84,6 +86,7 @@ _DIGIT = "|".join(DIGIT_WORDS)
 BETWEEN = rf"(?:{S}|[\-–][ ]?|,{S0}|\.{S})"
 SPOKEN = re.compile(rf"(?i)(?<!\w)(?:{_DIGIT})(?:{BETWEEN}(?:{_DIGIT})(?!\w)){{2,}}")
 SPOKEN_AHEAD, SPOKEN_AFTER = re.compile(rf"(?<!\w)([^\W_]+){BETWEEN}$"), re.compile(rf"{BETWEEN}([^\W_]+)")
+_DIGITS = frozenset(DIGIT_WORDS)
 #: Digits that a spelled-out phone number has.
 FEWEST_SPOKEN = 7
 
@@ -124,15 +127,20 @@ def _key(word: str) -> str:
     if k is None:
         if len(_KEYS) > 100_000:
             _KEYS.clear()
-        k = _KEYS[word] = skeleton(fold(misread(word)))
+        k = _KEYS[word] = skeleton(fold(misread(unescape(word) if "&" in word else word)))
     return k
 
 
 def spoken(t: str) -> Iterator[tuple[int, int, int]]:
     """(start, end, digits) of runs of words for digits, some of them perhaps damaged, after three that aren't."""
-    known, done = None, 0
+    # Three such words in a row are rare: found by whole words first, as the search by characters is slow.
+    low = t.lower()
+    for c in "-–,.\x00":
+        low = low.replace(c, " ")
+    if b"\x01\x01\x01" not in bytes(map(_DIGITS.__contains__, low.split())):
+        return
+    known, done = {_key(w) for w in DIGIT_WORDS}, 0
     for m in SPOKEN.finditer(t):
-        known = known or {_key(w) for w in DIGIT_WORDS}
         a, b = m.span()
         if a < done:
             continue
@@ -411,7 +419,8 @@ def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     lefts = small(pat.where("pat like 'L:%'").select(F.substring("pat", 3, 1000).alias("p"), F.col("sure").alias("s1")))
     rights = small(pat.where("pat like 'R:%'").select(F.substring("pat", 3, 1000).alias("r"), F.col("sure").alias("s2")))
     m = names.join(small(given), "a", "left").join(small(family), "b", "left").join(lefts, "p", "left").join(rights, "r", "left").fillna(0.0, ["given", "family", "s1", "s2"])
-    around = F.greatest("s1", "s2")
+    # A word before an initial may belong to the sentence, so only what stands before it can vouch for it.
+    around = F.when(F.col("kind") == "middle", F.col("s1")).otherwise(F.greatest("s1", "s2"))
     ok = ((F.col("given") >= sure) & (F.col("family") >= sure)) | ((F.col("a") == ".") & (F.col("family") >= sure)) | ((around >= 0.5) & (F.greatest("given", "family") >= sure) & (F.col("a") != "."))
     m = m.where(ok).select("doc", F.lit("name").alias("kind"), "start_char", "end_char")
     every = direct.unionByName(n).unionByName(m).unionByName(_other_streets(c.where("kind = 'street'"), sure_street)).distinct()

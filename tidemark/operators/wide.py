@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import checkpoint, fresh, q, require
+from ..common import fresh, q, require
 
 TYPED = {"double": "double", "int": "bigint", "bool": "boolean", "category": "string", "string": "string", "timestamp": "timestamp_ntz"}
 
@@ -30,20 +30,24 @@ def wide_delta(batch: DataFrame, entity: str, attribute: str, version: Sequence[
 
 
 def compact(runs: Sequence[DataFrame]) -> DataFrame:
-    """Merge runs of sparse wide deltas: per entity and attribute the cell of the greatest version. Order of runs doesn't matter."""
+    """Merge runs of sparse wide deltas: per entity and attribute the cell of the greatest version. Order of runs doesn't matter.
+
+    An entity's deltas, one of each run, are merged cell by cell; runs that already lie by entity aren't sent again.
+    """
     require(len(runs) > 0, "compact needs a run")
     merged = runs[0]
     for r in runs[1:]:
         merged = merged.unionByName(r)
-    cells = merged.select("entity", F.explode("cells").alias("attribute", "cell"))
-    best = cells.groupBy("entity", "attribute").agg(F.max("cell").alias("cell"))
-    return best.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("attribute", "cell"))).alias("cells"))
+    deltas = merged.groupBy("entity").agg(F.collect_list("cells").alias("m"))
+    latest = F.aggregate(F.slice("m", 2, F.size("m")), F.element_at("m", 1), lambda a, b: F.map_zip_with(a, b, lambda k, x, y: F.greatest(x, y)))
+    return deltas.select("entity", latest.alias("cells"))
 
 
 def eav_to_cells(df: DataFrame, entity: str, attribute: str, version: Sequence[str], cell: Sequence[str], batch: Column | None = None) -> DataFrame:
     """Rows into compacted cells (entity, cells). batch: expression that names the load a row came with.
 
-    Every load becomes one sparse wide delta (a run, sorted by entity); all runs are compacted together. With batch=None
+    Every load becomes one sparse wide delta (a run); an entity's deltas lie together and are compacted where they lie, without
+    being sent again. An entity has one delta of each load, of at most as many cells as there are attributes. With batch=None
     there is one load.
     """
     if batch is None:
@@ -54,9 +58,9 @@ def eav_to_cells(df: DataFrame, entity: str, attribute: str, version: Sequence[s
     for c in version:
         keep = keep & q(c).isNotNull()
     best = df.where(keep).groupBy(q(entity).alias("entity"), batch.alias(b), q(attribute).alias("attribute")).agg(F.max(v).alias("cell"))
-    # A delta of one load: all attributes of an entity in one sparse row; the runs then lie sorted by entity.
-    runs = best.groupBy("entity", b).agg(F.map_from_entries(F.collect_list(F.struct("attribute", "cell"))).alias("cells"))
-    return compact([checkpoint(runs.sortWithinPartitions("entity", b)).drop(b)])
+    # A delta of one load: all attributes of an entity in one sparse row.
+    runs = best.repartition("entity").groupBy("entity", b).agg(F.map_from_entries(F.collect_list(F.struct("attribute", "cell"))).alias("cells"))
+    return compact([runs.drop(b)])
 
 
 def typed_wide(cells: DataFrame, types: dict[str, str], entity: str = "entity", id_suffix: str | None = None) -> DataFrame:

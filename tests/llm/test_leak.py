@@ -61,9 +61,9 @@ def test_interruptions_and_repetitions(leaks):
 
 def test_damage_and_other_words(leaks):
     t = srt(lines(words(P1, 4, 14)))
-    same = [("château", "chateau"), ("château", "chÃ¢teau"), ("château", "ch�teau"), ("mirrors", "rnirrors"), ("tidal", "tidaI"), ("canopy", "can0py"), ("plateau", "plataeu"), ("elastic", "еlаstiс"), ("erodes", "er-\nodes"), ("canopy", "ca nopy"), ("while a", "whilea"), ("plateau", "pla­teau"), ("the", "tlie"), ("elastic", "clastic")]
+    same = [("château", "chateau"), ("château", "chÃ¢teau"), ("château", "ch�teau"), ("mirrors", "rnirrors"), ("tidal", "tidaI"), ("canopy", "can0py"), ("plateau", "plataeu"), ("elastic", "еlаstiс"), ("erodes", "er-\nodes"), ("canopy", "ca nopy"), ("while a", "whilea"), ("plateau", "pla­teau"), ("the", "tlie"), ("elastic", "clastic"), ("mirrors", "mirror s"), ("mirrors", "minrors")]
     other = [("canopy", "reservoir"), ("elastic", "glacial"), ("while", "under"), ("tidal", "moderate")]
-    assert leaks([t, *[t.replace(a, b) for a, b in same]]) == [[1]] * 15
+    assert leaks([t, *[t.replace(a, b) for a, b in same]]) == [[1]] * 17
     assert leaks([t.replace(a, b) for a, b in other]) == [[]] * 4
     number = srt(lines(words(P2, 8, 12)))
     assert leaks([number, number.replace("825", "826")]) == [[2], []]

@@ -224,7 +224,9 @@ def rejoined(ws: list[str], ids: list[int], words: Words) -> tuple[list[str], li
         if k + 1 < n and (ids[k] == 0 or ids[k + 1] == 0 or ws[k] not in words.exact):
             both = ws[k] + ws[k + 1]
             j = words.of_kept(both) if len(both) >= 5 else 0
-            if j and ids[k] != j and (ids[k + 1] != j or both in words.exact):
+            # The first part alone may already be near the word (disperse s); then the second must be none in its own right.
+            apart = both in words.exact and ids[k + 1] == 0 and ws[k] not in words.exact
+            if j and (apart or (ids[k] != j and (ids[k + 1] != j or both in words.exact))):
                 w2.append(both)
                 i2.append(j)
                 k += 2

@@ -105,7 +105,7 @@ _SHAPES = str.maketrans({"0": "o", "1": "l", "|": "l", "!": "l", "i": "l", "e":
 
 def skeleton(w: str) -> str:
     """A folded word in which letters that recognition confuses are alike."""
-    return w.translate(_SHAPES).replace("rn", "m").replace("vv", "w").replace("h", "ll").replace("cl", "d")
+    return w.translate(_SHAPES).replace("rn", "m").replace("rl", "n").replace("vv", "w").replace("h", "ll").replace("cl", "d")
 
 
 #: Folded words that a worker remembers.

@@ -13,7 +13,7 @@ from ..common import as_list, clean, fresh, from_micros, is_time, materialise, m
 from .joins import merge_intervals
 from .nodes import Tree
 
-PLAIN = ("mean", "min", "max", "median", "std", "var", "sum", "prod", "skew", "mad", "sem", "size", "count", "nunique", "mode", "mode_count", "first", "last")
+PLAIN = ("mean", "min", "max", "median", "std", "var", "sum", "prod", "skew", "mad", "sem", "size", "count", "nunique", "mode", "mode_count", "first", "last", "any", "all")
 #: Attributes that are taken from the table itself where none are named.
 MAX_ATTRIBUTES = 10_000
 ZERO = ("size", "count", "nunique", "mode_count")
@@ -132,9 +132,10 @@ def resample_eav(
     """Aggregate the observations of each window's entity and time span, for each attribute separately.
 
     One row for each window, its columns kept, plus <attribute>__<aggregation> columns: mean, min, max, median, pX, std, var,
-    sum, prod, skew, mad, sem, size, count, nunique, mode, mode_count, first, last, rK and tK (value and time of the K-th
+    sum, prod, skew, mad, sem, size, count, nunique, mode, mode_count, first, last, any, all (of numbers: is one, is each other
+    than 0?), rK and tK (value and time of the K-th
     observation, from the end if negative), custom_agg. Windows may overlap or lack an endpoint. Without observations size,
-    count, nunique and mode_count are 0, others null; of missing values only the sum is 0 and the product 1. Observations
+    count, nunique and mode_count are 0, others null; of missing values only the sum is 0, the product 1, any false, all true. Observations
     without a time are left out; those without a value count in size and ranks. Ties of ranks go by row_id, else by value.
     attribute_col=None: agg has one key, a label. window_id: unique column of windows (positions are made if None).
     approximate: quantiles by a sketch instead of exactly. optimize is accepted for compatibility: the planner chooses.
@@ -220,6 +221,9 @@ def resample_eav(
                 c = home(F.avg(num))
             elif how in ("min", "max"):
                 c = (F.min if how == "min" else F.max)(v)
+            elif how in ("any", "all"):
+                require(isinstance(vt, (T.NumericType, T.BooleanType)), f"{how} needs numbers")
+                c = F.when(n > 0, F.coalesce((F.bool_or if how == "any" else F.bool_and)(num != 0), F.lit(how == "all")))
             elif how == "size":
                 c = n
             elif how == "count":

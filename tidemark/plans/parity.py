@@ -254,6 +254,13 @@ def eav_first_last(spark, d):
     return _eav(spark, d, {"click": ["first", "last"]}).select("wid", F.col("click__first").alias("f"), F.col("click__last").alias("l"))
 
 
+@query(f"""with {_EV}, {_PW}, {_J} select wid, case when count(*) filter ({_C}) > 0 then coalesce(bool_or(event_id % 5 > 2) filter ({_C} and value is not null), false) end a,
+  case when count(*) filter ({_C}) > 0 then coalesce(bool_and(event_id % 5 > 2) filter ({_C} and value is not null), true) end b from j group by wid""")
+def eav_any_all(spark, d):
+    e = _events(spark, d, True).withColumn("value", F.when(F.col("value").isNotNull(), (F.col("event_id") % 5 > 2).cast("double")))
+    return resample_eav(e, _purchases(spark, d), {"click": ["any", "all"]}, **_EAV).select("wid", F.col("click__any").alias("a"), F.col("click__all").alias("b"))
+
+
 @query(f"""with {_EV}, {_PW}, {_J} select wid, case when count(*) filter ({_C}) > 0 then coalesce(product(case when value is not null then (event_id % 5 - 2) / 2 end) filter ({_C}), 1) end p from j group by wid""")
 def eav_prod_signed(spark, d):
     """Products with zeros and signs; 1 over missing values only."""

@@ -310,15 +310,15 @@ def score_numbers(occ: DataFrame, rounds: int = 8) -> DataFrame:
     """
     o = checkpoint(occ.groupBy("a", _patterns().alias("pats")).agg(F.sum("n").alias("n")).withColumn("id", F.xxhash64("a", "pats")))
     edges = o.select("id", "a", "n", F.explode("pats").alias("pat"))
-    known = o.groupBy("a").agg(F.when(F.col("a").rlike(SEED_PHONE), 1.0).otherwise(0.0).alias("phone"), F.when(F.col("a").isin(*SEED_IDENTITY), 1.0).otherwise(0.0).alias("identity"))
-    seeds = known.select("a", F.col("phone").alias("sp"), F.col("identity").alias("si"))
+    seed = lambda c: F.when(c, 1.0).otherwise(0.0)
+    shapes = checkpoint(o.groupBy("a").agg(F.sum("n").alias("all")).select("a", "all", seed(F.col("a").rlike(SEED_PHONE)).alias("sp"), seed(F.col("a").isin(*SEED_IDENTITY)).alias("si")))
+    known = shapes.select("a", F.col("sp").alias("phone"), F.col("si").alias("identity"))
+    mean = lambda hits, at_least: F.greatest(at_least, F.coalesce(F.col(hits) / (F.col("all") + 1.0), F.lit(0.0)))
     for _ in range(rounds):
         pat = edges.join(known, "a").groupBy("pat").agg(_share(F.col("n") * F.col("phone"), F.col("n"), 2.0).alias("phone"), _share(F.col("n") * F.col("identity"), F.col("n"), 2.0).alias("identity"))
         best = edges.join(pat, "pat").groupBy("id", "a").agg(F.first("n").alias("n"), F.max("phone").alias("phone"), F.max("identity").alias("identity"))
-        total = o.groupBy("a").agg(F.sum("n").alias("all"))
         got = best.groupBy("a").agg(F.sum(F.col("n") * F.col("phone")).alias("hp"), F.sum(F.col("n") * F.col("identity")).alias("hi"))
-        known = total.join(got, "a", "left").join(seeds, "a").select("a", F.greatest("sp", F.coalesce(F.col("hp") / (F.col("all") + 1.0), F.lit(0.0))).alias("phone"), F.greatest("si", F.coalesce(F.col("hi") / (F.col("all") + 1.0), F.lit(0.0))).alias("identity"))
-        known = checkpoint(known)
+        known = checkpoint(shapes.join(got, "a", "left").select("a", mean("hp", "sp").alias("phone"), mean("hi", "si").alias("identity")))
     return known
 
 

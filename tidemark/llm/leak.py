@@ -21,7 +21,7 @@ RADIUS = BLOCKS - 1
 WINDOW = 6
 #: Words of a run that the search may be unable to read.
 UNREAD = 3
-#: Items' words that a worker holds; items with more words between them are searched in several passes.
+#: Different words of items that a worker holds; items with more between them are searched in several passes, each within the bound (unless a single item isn't).
 MAX_WORDS = 50_000
 #: Rows of the items' fingerprints (four numbers each) that may be broadcast; more are joined by a shuffle.
 INDEX_ROWS = 1_000_000
@@ -379,10 +379,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     # Equal passages are one item to the search.
     texts = checkpoint(every.select("p").distinct().mapInPandas(read, "p string, ws array<string>").withColumn("item", F.monotonically_increasing_id()))
     src = docs.select(q(doc_id).alias("d"), q(text).alias("t")).where("d is not null and t is not null")
-    n = texts.select(F.explode("ws").alias("w")).agg(F.count_distinct("w")).first()[0]
+    part = lambda n: F.pmod(F.xxhash64("item"), F.lit(n))
+    count, passes = texts.count(), 1
+    while passes < count and texts.select(part(passes).alias("k"), F.explode("ws").alias("w")).groupBy("k").agg(F.count_distinct("w").alias("n")).agg(F.max("n")).first()[0] > MAX_WORDS:
+        passes *= 2
     found = None
-    for k in range(passes := -(-n // MAX_WORDS)):
-        some = texts if passes == 1 else texts.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k)
+    for k in range(passes if count else 0):
+        some = texts if passes == 1 else texts.where(part(passes) == k)
         got = _search(spark, src, some.select("item", "ws"), least, similarity)
         found = got if found is None else found.unionByName(got)
     if found is None:

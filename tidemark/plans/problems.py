@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import micros, require, table
+from ..common import micros, q, require, table
 from ..functions.values import readings
 from ..operators.donors import GRAIN, LEAST, MONTH, SHRINK, fill_from_donors
 from ..operators.grid import regular_grid
@@ -34,11 +34,30 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _cells(spark, d).select(F.col("entity").alias("subject_id"), F.explode_outer("cells").alias("attribute", "cell")).select("subject_id", "attribute", F.col("cell.id").alias("obs_id"))
 
 
-def p1_wide(spark: SparkSession, d: str) -> DataFrame:
+def _types(spark: SparkSession, d: str) -> dict[str, str]:
     rows = table(spark, d, "attr_types").where("attribute is not null").limit(MAX_COLUMNS + 1).collect()
     require(len(rows) <= MAX_COLUMNS, f"more than {MAX_COLUMNS} attribute types")
-    types = {r.attribute: r.kind for r in rows}
-    return typed_wide(_cells(spark, d), types, "subject_id")
+    return {r.attribute: r.kind for r in rows}
+
+
+def p1_wide(spark: SparkSession, d: str) -> DataFrame:
+    return typed_wide(_cells(spark, d), _types(spark, d), "subject_id")
+
+
+def p1_wide_long(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table's typed columns turned back into rows, one for each value: (subject_id, attribute, num, txt, tm_us)."""
+    kinds = _types(spark, d)
+    require(len({a.lower() for a in kinds}) == len(kinds), "attributes that differ in case only have other column names")
+    none = F.lit(None)
+
+    def row(a: str, kind: str):
+        c = q(a)
+        num = c.cast("double") if kind in ("double", "int", "bool") else none.cast("double")
+        txt = c if kind in ("category", "string") else none.cast("string")
+        return F.struct(F.lit(a).alias("attribute"), num.alias("num"), txt.alias("txt"), (micros(c) if kind == "timestamp" else none.cast("bigint")).alias("tm_us"))
+
+    long = p1_wide(spark, d).select("subject_id", F.explode(F.array(*[row(a, k) for a, k in kinds.items()])).alias("x")).select("subject_id", "x.*")
+    return long.where("num is not null or txt is not null or tm_us is not null")
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +108,7 @@ def p7_filled(spark: SparkSession, d: str) -> DataFrame:
     return _filled(spark, d)
 
 
-QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p2_found": p2_found, "p2_grid": p2_grid, "p4_found": p4_found, "p6_found": p6_found, "p6_sessions": p6_sessions, "p7_found": p7_found, "p7_filled": p7_filled}
+QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p1_wide_long": p1_wide_long, "p2_found": p2_found, "p2_grid": p2_grid, "p4_found": p4_found, "p6_found": p6_found, "p6_sessions": p6_sessions, "p7_found": p7_found, "p7_filled": p7_filled}
 
 _NORM = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 _BLANK = r"[\s\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -130,6 +149,8 @@ _P6_I = f"""with i as (select subject_id, epoch_us(timestamp) s, epoch_us(timest
 
 ORACLES = {
     "p1_found": f"with {READINGS} select subject_id, code as attribute, max_by(obs_id, (timestamp, obs_id)) as obs_id from u where timestamp is not null group by 1, 2",
+    "p1_wide_long": f"""with {READINGS}, b as (select subject_id, code, max_by({{'num': num, 'txt': txt, 'tm': tm}}, (timestamp, obs_id)) v from u where timestamp is not null group by 1, 2)
+      select subject_id, code as attribute, v.num as num, v.txt as txt, epoch_us(v.tm) as tm_us from b""",
     "p2_found": f"""with {READINGS},
       w as (select distinct window_id, subject_id, start, stop from windows where start < stop and subject_id is not null),
       v as (select subject_id, code, period_s, epoch_us(timestamp) t from u where period_s is not null and num is not null and timestamp is not null),

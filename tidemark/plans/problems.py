@@ -41,7 +41,8 @@ def _types(spark: SparkSession, d: str) -> dict[str, str]:
 
 
 def p1_wide(spark: SparkSession, d: str) -> DataFrame:
-    return typed_wide(_cells(spark, d), _types(spark, d), "subject_id")
+    types = _types(spark, d)
+    return typed_wide(_cells(spark, d), types, "subject_id")
 
 
 def p1_wide_long(spark: SparkSession, d: str) -> DataFrame:

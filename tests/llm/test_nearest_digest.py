@@ -83,3 +83,39 @@ def test_values_meet_estimates_without_being_sent(frame):
     est = estimate(digests(df, "g", "x"), [0.5])
     plan = digest.certify(df, "g", "x", est, [0.5])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_equal_values_keep_their_value(frame):
+    """A centroid's mean that rounding carries past values of many equal ones would stand beside all of them."""
+    data = [("k", x) for v, n in ((96.6, 97), (0.1, 153), (94.6, 211), (7.3, 139)) for x in [v] * n]
+    got = percentiles(frame("g string, x double", data).repartition(3), "g", "x", [k / 20 for k in range(21)]).collect()
+    assert len(got) == 21 and max(r.rank_error for r in got) <= 1 / 100
+    inside = {r.q: r.value for r in got}
+    assert [inside[q] for q in (0.1, 0.4, 0.7, 0.95)] == [0.1, 7.3, 94.6, 96.6]
+    big = percentiles(frame("g string, x double", [("k", x) for x in [-1.7e308] * 400 + [1.7e308] * 400]), "g", "x", [0.25, 0.75], size=20).collect()
+    assert {r.q: r.value for r in big} == {0.25: -1.7e308, 0.75: 1.7e308}
+
+
+def test_estimates_beyond_the_stated_error_are_made_again(frame, monkeypatch):
+    """Between two peaks interpolation passes most of the next centroid; the centroid that holds the place doesn't."""
+    data = [("two", float(x >= 60)) for x in range(100)] + [("flat", float(x)) for x in range(100)] + [(None, 1.0)]
+    df, q = frame("grp string, __grp double", data).coalesce(1), [0, *[k / 200 for k in range(105, 131)], 1]
+    most = {}
+    for r in percentiles(df, "grp", "__grp", q, size=40).collect():
+        most[r.grp] = max(most.get(r.grp, 0), r.rank_error)
+    bound = 0.8 * most["two"]
+    assert most["flat"] < bound
+    monkeypatch.setattr(digest, "stated_error", lambda size=0: digest.F.lit(bound))
+    got = percentiles(df, "grp", "__grp", q, size=40).collect()
+    assert len(got) == 2 * len(q) and max(r.rank_error for r in got) <= bound
+    for g, most in (("two", 1.0), ("flat", 99.0)):
+        at = [v for _, v in sorted((r.q, r.value) for r in got if r.grp == g)]
+        assert at == sorted(at) and (at[0], at[-1]) == (0.0, most)
+
+
+def test_a_task_clusters_each_value_once():
+    """Clustering centroids again with every batch would add errors that the stated one doesn't count."""
+    v = np.random.default_rng(2).permutation(300_000.0 + np.arange(300_000))
+    batches = (digest.pd.DataFrame({"grp": "k", "mean": x, "weight": 1.0}) for x in np.split(v, 30))
+    out = list(digest._leaf(20)(batches))
+    assert [len(d) <= 22 for d in out] == [True, True] and [d.weight.sum() for d in out] == [210_000, 90_000]

@@ -4,7 +4,7 @@ import random
 import pytest
 
 from tests.conftest import rows
-from tidemark import find_containing_interval, inner_or_cross_join, merge_intervals
+from tidemark import find_containing_interval, inner_or_cross_join, merge_aggregates, merge_intervals
 
 ENDS = dict(left_start="s", left_stop="e", right_start="s", right_stop="e")
 
@@ -207,3 +207,49 @@ def test_inner_or_cross(frame):
     assert inner_or_cross_join(a, b).count() == 4
     with pytest.raises(ValueError):
         inner_or_cross_join(a, a)
+
+
+@pytest.mark.parametrize("ends,closed", [(("s", "e", "s", None), False), (("s", "e", "s", None), True), ((None, "e", "s", "e"), True), (("s", "s", None, "e"), True), (("s", "s", None, "e"), False), (("s", None, None, "e"), False)])
+def test_aggregates_without_pairs(frame, monkeypatch, ends, closed):
+    """Counts and extremes by a single inequality are those of the pairs, several places in a chunk; ids repeat, ends are missing or infinite."""
+    from tidemark.operators import nodes
+
+    monkeypatch.setattr(nodes.Tree.__init__, "__defaults__", (4,))
+    rnd = random.Random(11)
+    end = lambda inf: rnd.choice([float(rnd.randint(0, 12))] * 9 + [None, float("nan"), inf])
+    a, b = ([(rnd.choice([k // 2] * 9 + [None]), end(-float("inf")), end(float("inf"))) for k in range(40)] for _ in "ab")
+    of = lambda r, c: "open" if c is None else None if (v := r["_se".index(c)]) is None or v != v else v
+    before = lambda x, y, both: x < y or (both and x == y)
+    filled = lambda s, e, both: None not in (s, e) and ("open" in (s, e) or before(s, e, both))
+    pairs = []
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            (ls, le), (rs, re) = (of(x, c) for c in ends[:2]), (of(y, c) for c in ends[2:])
+            if filled(ls, le, closed) and filled(rs, re, True) and (before(rs, le, closed) if ends[1] and ends[2] else before(ls, re, closed)):
+                pairs.append((i, j))
+    ids = lambda js: [b[j][0] for j in js if b[j][0] is not None]
+    seen = lambda js: (len(ids(js)), min(ids(js), default=None), max(ids(js), default=None))
+    want = [(a[i][0], *seen([j for k, j in pairs if k == i])) for i in range(40)]
+    rest = set(range(40)) - {j for _, j in pairs}
+    l, r = (frame("id long, s double, e double", x) for x in (a, b))
+    got = merge_aggregates(l, r, {"n": ("count", "id"), "lo": ("min", "id"), "hi": ("max", "id")}, how="outer", left_start=ends[0], left_stop=ends[1], right_start=ends[2], right_stop=ends[3], include_left_start=closed, include_left_stop=closed)
+    assert rows(got, "id", "n", "lo", "hi") == sorted(want + [(None, *seen(rest))] * bool(rest), key=repr)
+
+
+def test_aggregates_of_empty_tables_times_and_errors(frame):
+    from datetime import datetime
+
+    l = frame("id long, s timestamp_ntz, e timestamp_ntz", [(1, datetime(2024, 1, 1), datetime(2024, 1, 2)), (2, datetime(2024, 1, 2), datetime(2024, 1, 1))])
+    r = frame("k long, t date", [(7, datetime(2024, 1, 2).date()), (8, datetime(2024, 1, 3).date()), (9, None)])
+    kw = dict(how="outer", left_start="s", left_stop="e", right_start="t")
+    agg = {"n": ("count", "k"), "hi": ("max", "k")}
+    assert rows(merge_aggregates(l, r, agg, **kw), "id", "n", "hi") == sorted([(1, 1, 7), (2, 0, None), (None, 2, 9)], key=repr)
+    assert rows(merge_aggregates(l, r, agg, **dict(kw, how="left"), include_right_start=False), "id", "n") == [(1, 0), (2, 0)]
+    assert rows(merge_aggregates(l.limit(0), r, agg, **kw), "id", "n", "hi") == [(None, 3, 9)]
+    assert rows(merge_aggregates(l, r.limit(0), agg, **kw), "id", "n", "hi") == sorted([(1, 0, None), (2, 0, None)], key=repr)
+    for bad in (dict(kw, how="inner"), dict(kw, right_stop="t"), dict(kw, right_start=None)):
+        with pytest.raises(ValueError):
+            merge_aggregates(l, r, agg, **bad)
+    for aggs in ({}, {"n": ("sum", "k")}, {"n": ("count", "v")}, {"ID": ("count", "k")}):
+        with pytest.raises(ValueError):
+            merge_aggregates(l, r, aggs, **kw)
